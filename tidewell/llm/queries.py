@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, packing, warc
+from . import idstore, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
     "op7_warc": warc.op7_warc,
+    "op8_quality": quality.op8_quality,
     "op9_id_store": idstore.op9_id_store,
 }
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; texts are long, so Spark's 10,000 rows are too many.
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     n = batch.num_rows
     if not n:
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     a, base = 0, 0
     while a < n:

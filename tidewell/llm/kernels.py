@@ -90,7 +90,8 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, size: int = 5) ->
         if b - a >= size:
             got = np.unique(acc[a : b - size + 1])
         elif b > a:
-            got = mix(np.array([(hashes[a:b] * _STEP[: b - a]).sum(dtype=np.uint64) + U(b - a) * U(0xA0761D6478BD642F)], dtype=np.uint64))
+            salt = U((b - a) * 0xA0761D6478BD642F % 2**64)
+            got = mix((hashes[a:b] * _STEP[: b - a]).sum(dtype=np.uint64, keepdims=True) + salt)
         else:
             continue
         out.append(got)

@@ -105,22 +105,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def score(docs: DataFrame, model, threshold: float, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """Score every whole text. ``model``: anything with ``logits(texts)``. ``keep``: all columns of ``docs`` stay."""
+    """Score every whole text: the id, score and predicted. ``model``: anything with ``logits(texts)``.
+
+    ``keep``: all columns of ``docs`` stay instead, and the result's two are named ``__score`` and ``__predicted``.
+    """
     spark = docs.sparkSession
     ready(spark)
     sent = spark.sparkContext.broadcast(model)
     fields = docs.schema.fields if keep else [docs.schema[id_column]]
     names = [f.name for f in fields]
+    mark = "__" if keep else ""
     source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_column).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 z = np.clip(sent.value.logits(part.column("__text")), -500, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*names, mark + "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return source.mapInArrow(run, f"{kinds}, {mark}score double").withColumn(mark + "predicted", (F.col(mark + "score") >= threshold).cast("int"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

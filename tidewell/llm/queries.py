@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, packing, quality, toxicity, warc
+from . import chat, decontamination, hamming, idstore, packing, quality, secrets, similarity, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": hamming.op1_hamming_topk,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_similarity_join": similarity.op5_similarity_join,
+    "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
     "op9_id_store": idstore.op9_id_store,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hamming_topk": hamming.SQL,
+    "op2_decontamination": decontamination.SQL,
+    "op6_chat": chat.SQL,
+}

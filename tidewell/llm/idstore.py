@@ -35,19 +35,19 @@ from .shared import cut, ready, remove, scratch
 from .tokens import encoder
 
 #: Chunk lengths in ids: fewest, expected beyond the fewest, most.
-LEAST, USUAL, MOST = 64, 256, 2048
+LEAST, USUAL, MOST = 128, 512, 4096
 #: Chunk copies, at 16 bytes each, that may be sent to every task.
 MAX_SENT = 1_000_000
 
-_GEAR = np.random.default_rng(20240229).integers(0, 2**64, 1 << 16, dtype=np.uint64)
+_GEAR = np.random.default_rng(20240229).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one stream."""
     h = _GEAR[ids & 0xFFFF]
-    for k in (1, 2, 4, 8, 16):  # the hash of the last 32 ids, doubled from that of 16, 8, ...
-        h[k:] = h[k:] + (h[:-k] << np.uint64(k))
-    marks = np.flatnonzero(h >> np.uint64(24) < np.uint64((1 << 40) // USUAL)) + 1
+    for k in (1, 2, 4, 8):  # the hash of the last 16 ids, doubled from that of 8, 4, ...
+        h[k:] += h[:-k] << np.uint32(k)
+    marks = np.flatnonzero(h < np.uint32((1 << 32) // USUAL)) + 1
     out, last, n = [], 0, len(ids)
     for end in [*marks.tolist(), n]:
         while end - last > MOST:
@@ -218,9 +218,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("digests"), pa.array(sizes, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int64()))], names=["doc_id", "start", "digests", "sizes", "after"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = shifted(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
-            yield batch.select(["doc_id", "start", "n"]).append_column("part", pa.array(part.astype(np.int64)))
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            part = shifted(rows.column("crc").to_numpy(), 4 * rows.column("after").to_numpy())
+            yield from rows.select(["doc_id", "start", "n"]).append_column("part", pa.array(part.astype(np.int64))).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # many rows at once, as each takes some hundred steps
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 1 << 16:
+                yield from done(held)
+                held = []
+        if held:
+            yield from done(held)
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
     lists = recipes.select("doc_id", "start", "digests", "sizes", "root").mapInArrow(rooted, f"doc_id {kind}, start long, digests array<binary>, sizes array<int>, after array<long>")

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Distinct words that a worker keeps; when full, the cache starts anew.
-CACHE_WORDS = 300_000
+#: Distinct words in each of a worker's two generations; when the younger is full, the older goes.
+CACHE_WORDS = 400_000
 #: The tokenizer's own split pattern (fixed values: its JSON file holds the same).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Control characters that str.split() takes for white space and the tokenizer may not.
@@ -58,11 +59,16 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word.isprintable():
+                return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
         # Below U+0250, but for the dotted capital I, nothing composes and lower case is letter by letter.
-        if (word.isascii() and word.isprintable()) or (max(word) < "ɐ" and "İ" not in word and word.isprintable()):
+        elif max(word) < "ɐ" and "İ" not in word and word.isprintable():
             return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
         return self._whole(word)
 
@@ -76,15 +82,19 @@ class WordEncoder:
 
 
 class _Known(dict):
-    """Word to ids, filled as words are met."""
+    """Word to ids, filled as words are met; a word of the older generation moves to the younger when met again."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        got = self[key] = self.make(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
         return got
 
 

@@ -1,4 +1,184 @@
-"""Queries over the driver's tables, each with the SQL that must give the same rows."""
+"""Queries over the driver's tables, each with the SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``orders`` stand in for messages, ``customer`` for senders, and status F for eligible entries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.period import in_month
+from ..operators import classify as C
+from ..operators import render as R
+from ..operators import store as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+MONTH = "1998-07"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("message_id"), T.source_url("market", F.col("o_orderkey")).alias("source_url"), F.col("o_orderpriority").alias("source_text"))
+
+
+def entries(spark: SparkSession, sf_dir: str, category: str = "o_orderpriority") -> DataFrame:
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
+    if category == "n_name":
+        rows = rows.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("o_orderkey").alias("message_pk"), F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), (F.col("o_orderstatus") == "F").cast("int").alias("eligible"), F.col(category).alias("category_title"), none.alias("category_emoji"), F.col("c_name").alias("short_title"), none.alias("manual_title"), none.alias("manual_category"), none.alias("excluded_reason"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01'")
+def period_filter(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where(in_month(F.col("o_orderdate"), MONTH)).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' '), '') AS flat FROM documents")
+def text_flatten(spark, sf_dir):
+    rich = F.parse_json(F.to_json(F.struct(F.split("text", " ", -1).alias("a"))))
+    return read(spark, sf_dir, "documents").select("doc_id", T.plain_text(F.variant_get(rich, "$.a", "variant")).alias("flat"))
+
+
+@query(r"SELECT doc_id, s FROM (SELECT doc_id, regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^[\t\n\r ]+|[\t\n\r ]+$', '', 'g') AS s FROM documents) WHERE s <> ''")
+def strip_nonempty(spark, sf_dir):
+    padded = F.concat(F.lit("\t "), F.col("text"), F.lit(" \n"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.strip(padded).alias("s")).where("s != ''")
+
+
+@query(r"SELECT doc_id, substring(regexp_replace('see https://a.example/' || doc_id || ' ' || text, 'https?://[^\s]+|\+?\d[\d ()-]{7,}', '', 'g'), 1, 420) AS clean FROM documents")
+def contact_scrub(spark, sf_dir):
+    linked = F.concat(F.lit("see https://a.example/"), F.col("doc_id"), F.lit(" "), F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.scrub(linked).alias("clean"))
+
+
+@query("SELECT o_orderkey, 'https://t.me/market/' || o_orderkey AS url FROM orders")
+def source_url(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.source_url("market", F.col("o_orderkey")).alias("url"))
+
+
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"SELECT page_id, {ESCAPED.format('html')} AS escaped FROM pages")
+def html_escape(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v FROM events")
+def json_props(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), F.lit(0)).alias("v"))
+
+
+TWICE = "(SELECT *, 0 AS pos FROM conversations UNION ALL SELECT conv_id, turn, role, 'later ' || text, 1 FROM conversations)"
+
+
+def twice(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return c.withColumn("pos", F.lit(0)).union(c.select("conv_id", "turn", "role", F.concat(F.lit("later "), F.col("text")), F.lit(1)))
+
+
+@query(f"SELECT conv_id, turn, text FROM {TWICE} QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) = 1")
+def dedup_first(spark, sf_dir):
+    return S.first_by(twice(spark, sf_dir), ["conv_id", "turn"], "pos").select("conv_id", "turn", "text")
+
+
+@query(f"SELECT conv_id, turn, arg_max(text, pos) AS text FROM {TWICE} GROUP BY conv_id, turn")
+def dedup_last(spark, sf_dir):
+    return S.last_by(twice(spark, sf_dir), ["conv_id", "turn"], "pos").select("conv_id", "turn", "text")
+
+
+@query("SELECT o_orderkey, 'old' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey % 3 = 0 AND p.o_orderkey = o.o_orderkey)")
+def insert_if_absent(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    old = o.where("o_orderkey % 3 = 0")
+    return old.withColumn("origin", F.lit("old")).union(S.absent(o, old, ["o_orderkey"]).withColumn("origin", F.lit("new")))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1000 AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01'")
+def surrogate_ids(spark, sf_dir):
+    return S.numbered(period_filter(spark, sf_dir).select("o_orderkey"), 1000, "o_orderkey")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE strftime(o_orderdate, '%Y-%m') = '1998-07'")
+def classify_rows(spark, sf_dir):
+    return C.requests(messages(spark, sf_dir), entries(spark, sf_dir), MONTH)
+
+
+@query("SELECT c_custkey, CASE WHEN r_regionkey IS NULL THEN 'Другое' ELSE r_name END AS category_title, CASE WHEN r_regionkey IS NULL THEN '📦' ELSE NULL END AS category_emoji FROM customer LEFT JOIN region ON c_nationkey = r_regionkey")
+def category_default(spark, sf_dir):
+    cats = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("category_title"), F.lit(None).cast("string").alias("category_emoji"))
+    return C.with_category(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), cats, "c_nationkey").drop("c_nationkey")
+
+
+@query("(SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders)")
+def id_set_diff(spark, sf_dir):
+    a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return C.id_difference(a, read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT o_orderkey AS message_pk, strftime(o_orderdate, '%Y-%m') AS period_key, CASE WHEN hit THEN 1 ELSE (o_orderstatus = 'F')::INT END AS eligible, CASE WHEN hit THEN 'new' ELSE o_orderpriority END AS category_title FROM (SELECT *, o_orderkey % 2 = 0 AND strftime(o_orderdate, '%Y-%m') = '1998-07' AS hit FROM orders JOIN customer ON o_custkey = c_custkey)")
+def apply_update(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    new = messages(spark, sf_dir).where("id % 2 = 0").select("id", F.lit(1).alias("eligible"), none.alias("category"), F.lit("new").alias("category_title"), none.alias("category_emoji"), none.alias("title"), none.alias("confidence"))
+    return C.updated(entries(spark, sf_dir), new, MONTH, "fake").select("message_pk", "period_key", "eligible", "category_title")
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' END, ''), nullif(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, ''), 'Объявление') AS title FROM customer")
+def title_fallback(spark, sf_dir):
+    manual = F.when(F.col("c_custkey") % 3 == 0, F.lit(""))
+    short = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("")
+    return read(spark, sf_dir, "customer").select("c_custkey", T.first_filled(manual, short, F.lit(T.NO_TITLE)).alias("title"))
+
+
+LINES = f"""lines AS (SELECT strftime(o_orderdate, '%Y-%m') AS period_key,
+ row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderpriority NULLS FIRST, c_name NULLS FIRST, o_orderkey) AS rank, '📦' AS emoji, o_orderpriority AS category,
+ '• ' || {ESCAPED.format("c_name")} || chr(8239) || '<a href="https://t.me/market/' || o_orderkey || '">↗</a>' AS line
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"""
+BLOCKS = f"""{LINES}, blocks AS (SELECT period_key, min(rank) AS ord, emoji || ' <b>' || {ESCAPED.format("category")} || '</b>' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS block FROM lines GROUP BY period_key, emoji, category)"""
+PARTS = f"""{BLOCKS}, b AS (SELECT period_key, block, row_number() OVER (PARTITION BY period_key ORDER BY ord) AS n FROM blocks),
+f AS (SELECT period_key, n, block, 1 AS part, length(block) AS size FROM b WHERE n = 1
+ UNION ALL SELECT b.period_key, b.n, b.block, CASE WHEN f.size + length(b.block) + 2 > 3700 THEN f.part + 1 ELSE f.part END,
+  CASE WHEN f.size + length(b.block) + 2 > 3700 THEN length(b.block) ELSE f.size + length(b.block) + 2 END FROM f JOIN b ON b.period_key = f.period_key AND b.n = f.n + 1),
+p AS (SELECT period_key, part AS part_no, string_agg(block, chr(10) || chr(10) ORDER BY n) AS body FROM f GROUP BY period_key, part),
+t AS (SELECT *, (count(*) OVER (PARTITION BY period_key))::INT AS total FROM p)
+SELECT period_key, part_no, total, '📚 <b>обЪявления</b>' || chr(10) || 'Главное за ' || period_key || ' · Часть ' || part_no || ' из ' || total || chr(10) || chr(10) || body
+ || CASE WHEN part_no = total THEN chr(10) || chr(10) || 'Актуальность уточняйте у автора.' || chr(10) || chr(10) || '<b>Новые объявления каждый день → обЪявления</b>' ELSE '' END AS html FROM t"""
+
+
+@query(f"WITH {LINES} SELECT period_key, rank::INT AS rank, emoji, category, line FROM lines")
+def digest_lines(spark, sf_dir):
+    return R.lines(entries(spark, sf_dir), messages(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS} SELECT period_key, ord::INT AS ord, block FROM blocks")
+def digest_blocks(spark, sf_dir):
+    return R.blocks(digest_lines(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PARTS} WHERE period_key = '1998-07'")
+def digest_parts(spark, sf_dir):
+    return R.digest(entries(spark, sf_dir).where("period_key = '1998-07'"), messages(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PARTS}")
+def digest_all_periods(spark, sf_dir):
+    return R.digest(entries(spark, sf_dir), messages(spark, sf_dir))

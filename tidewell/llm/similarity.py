@@ -8,11 +8,11 @@ Words are lower-cased (A-Z) runs of anything but white space; a document's set h
 2. Shingles are ordered by sketched count, rarest first, and by hash. A linked pair shares a shingle among the first
    ``n - ceil(t n) + 1`` of both (the prefix filter, true of any common order), so only those are shuffled, and
    shingles that a single class holds are dropped.
-3. Candidates pass the length filter and the positional filter, then, with the sets at hand, the suffix filter, and are
-   verified once per pair by exact intersection.
+3. Candidates pass the length filter and the positional filter, then the suffix filter, over signatures of 256 bytes and
+   again over the sets themselves, and are verified once per pair by exact intersection.
 4. Classes already known to be connected need not be compared: in each round, of every shingle's classes one of each
-   component meets one leader, and components merge, until what is left to compare across components is in proportion
-   to the shingles' rows. Then all of it is compared. So a group of thousands of near copies costs a few pairs a member,
+   component meets a leader, and components merge, until what is left to compare across components is in proportion
+   to the shingles' rows or a round has not halved it. Then all of it is compared. So a group of thousands of near copies costs a few pairs a member,
    and no link between components is missed.
 
 The sketch has ``SKETCH`` counters whatever the input; it only orders, so a wrong count costs time and never a link.
@@ -42,8 +42,10 @@ U = np.uint64
 WORDS, PERCENT, SKETCH, STRIPE = 5, 75, 1 << 20, 1 << 14
 #: Class ids, at 8 bytes each, that may be sent to every task.
 MAX_SENT = 2_000_000
-#: Pairs left to compare across components, for each row of shared shingles, at which all are compared.
-DENSE, ROUNDS = 2, 12
+#: Pairs left to compare across components, for each row of shared shingles, at which all are compared; the most rounds.
+DENSE, ROUNDS = 2, 8
+#: Partners of a set that one task compares it with.
+PARTNERS = 200
 
 
 def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -109,7 +111,7 @@ def prefix(n: int) -> int:
 
 
 def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: str) -> DataFrame:
-    """(token, hi, lo, n, pos): prefix shingles that two classes or more hold."""
+    """(token, hi, lo, size): prefix shingles that two classes or more hold; size is n << 32 | pos."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)
     names = ["token", "hi", "lo", "size"]
@@ -162,13 +164,15 @@ def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: st
     sorted_ = source.repartition(parts, "token").sortWithinPartitions("token", "hi", "lo")
     out = cut(sorted_.mapInArrow(several, kinds), "shared")
     ready(spark)
-    return out.select("token", "hi", "lo", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    return out
 
 
 def _possible(a: str, b: str) -> Column:
     """Length and positional filter of two rows of one token."""
-    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    most = F.least(f"{a}.pos", f"{b}.pos") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) - 1
+    n = lambda x: F.shiftright(f"{x}.size", 32)
+    pos = lambda x: F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1))
+    low, high = F.least(n(a), n(b)), F.greatest(n(a), n(b))
+    most = F.least(pos(a), pos(b)) + F.least(n(a) - pos(a), n(b) - pos(b))  # before this token, and from it on
     return (low * 100 >= high * PERCENT) & (most * 100 >= (low + high - most) * PERCENT)
 
 
@@ -184,22 +188,83 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(x) + len(y)
     need = -(-PERCENT * both // (100 + PERCENT))
+    if min(len(x), len(y)) < need:
+        return False
     if suffix_bound(x, y) < need:
         return False
     return both - len(np.union1d(x, y)) >= need
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b)."""
+def signature(x: np.ndarray) -> bytes:
+    """How many members lie in each of 256 ranges of hashes; 255 stands for that many or more."""
+    return np.minimum(np.bincount((x >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The suffix filter over fixed ranges: no pair of sets shares more than the lesser count of each range. ``x``, ``y``:
+    signatures as rows; ``n``, ``m``: sizes."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    x[x == 255], y[y == 255] = 1 << 40, 1 << 40
+    most = np.minimum(np.minimum(x, y).sum(axis=1), np.minimum(n, m))
+    return most * 100 >= (n + m - most) * PERCENT
+
+
+def _set_rows(texts: DataFrame, wanted: DataFrame, make, kind: str) -> DataFrame:
+    """``make`` of the set of each wanted text (id, text); ``wanted``: (id, ...), sent to every task if few."""
+    sent = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
+    rest = [c for c in wanted.columns if c != "id"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            good = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for first, s, at in _sets(batch, "text"):
+                data = [make(s[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                kept = [batch.column(c).slice(first, len(data)) for c in ("id", *rest)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at)), pa.array(data, pa.binary())], names=["id", *rest, "n", kind])
+
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("id", *rest))
+    return texts.join(sent, "id").select("id", *rest, "text").mapInArrow(emit, f"{kinds}, n long, {kind} binary")
+
 
-    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long")
+def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked ones of distinct pairs (a, b): by signatures first, then by the sets themselves.
+
+    A set is sent once to each of its partners' places; the first of a pair may have any number of partners, which are
+    dealt to as many places as they need.
+    """
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
+            good = may_link(x, y, batch.column("n").to_numpy(), batch.column("m").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    both = pairs.join(signatures.toDF("a", "n", "x"), "a").join(signatures.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    left = cut(both.mapInArrow(filtered, "a long, b long").distinct(), "likely")
+    places = left.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("places"))
+    firsts = places.select(F.col("a").alias("id"), F.col("a"), F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    seconds = left.join(places, "a").select(F.col("b").alias("id"), "a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
+    wanted = cut(firsts.union(seconds), "wanted")
+    rows = _set_rows(texts, wanted, lambda x: x.astype("<u8").tobytes(), "members")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # the sets that the place's first stands for
+        for batch in batches:
+            found = []
+            for a, place, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "place", "b", "members")), strict=True):
+                if key != (a, place):
+                    key, held = (a, place), []
+                x = np.frombuffer(data, "<u8")
+                if b is None:
+                    held.append(x)
+                elif any(similar(h, x) for h in held):
+                    found.append((a, b))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("a", "place", "b", "members").repartition(parts, "a", "place").sortWithinPartitions("a", "place", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(compared, "a long, b long")
 
 
 def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -210,45 +275,38 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     named = cut(each.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")), "named")
     members = each.join(named.withColumnRenamed("id", "first"), ["hi", "lo", "n"], "left").select("doc_id", "n", "first")
 
-    rows = _shared(docs, sketch, id_column, text_column).join(named.drop("n"), ["hi", "lo"]).where("id is not null").select("token", "id", "n", "pos")
+    rows = _shared(docs, sketch, id_column, text_column).join(named.drop("n"), ["hi", "lo"]).where("id is not null").select("token", "id", "size")
     rows = cut(rows, "rows")
     ids = cut(rows.select("id").distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, s, at in _sets(batch, "text"):
-                data = [s[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(data)), pa.array(data, pa.binary())], names=["id", "set"])
-
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sets = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(emit, "id long, set binary"), "sets")
+    signatures = cut(_set_rows(texts, ids, signature, "signature"), "signatures")
 
     labels = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    tested = None
-    for turn in range(ROUNDS + 1):
-        now = cut(rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "n", "pos", "label"), "now")
-        per = now.groupBy("token", "label").agg(F.count("*").alias("k"))
-        per = per.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = cut(per, "open")
-        work = open_.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0)).alias("w"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).collect()[0]
-        if not work["k"]:
+    tested, before = None, None
+    for turn in range(ROUNDS):
+        pick = F.min if turn % 2 == 0 else F.max
+        now = rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "size", "label") if turn else rows.withColumn("label", F.col("id"))
+        one = cut(now.groupBy("token", "label").agg(pick("id").alias("id"), F.count("*").alias("k")), "one") if turn else now.select("token", "label", "id", F.lit(1).cast("long").alias("k"))
+        per = one.groupBy("token").agg(pick("id").alias("lead"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts"))
+        open_ = cut(per.where("parts > 1"), "open")
+        work, held = open_.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).collect()[0]
+        if not held:
             break
-        left = now.join(open_.select("token"), "token")
-        last = turn == ROUNDS or work["w"] <= DENSE * work["k"]
+        last = work <= DENSE * held or turn == ROUNDS - 1 or (before is not None and work > before / 2)
+        before = work
         if last:
+            left = now.join(open_.select("token"), "token", "left_semi")
             pairs = left.alias("x").join(left.alias("y"), "token").where((F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "label")
-            one = left.groupBy("token", "label").agg(F.min(pick).alias("x")).select("token", "x.*")
-            lead = one.groupBy("token").agg(F.min(F.struct("label", "id", "n", "pos")).alias("y"))
-            pairs = one.alias("x").join(lead.select("token", "y.*").alias("y"), "token").where((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
-            pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+            met = one.join(open_.select("token", "lead"), "token").where("id != lead")
+            best = met.groupBy("id", "lead").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "lead")).alias("x"))
+            pairs = best.select(F.col("x.lead").alias("a"), F.col("id").alias("b"))  # each meets the leader it shares most with
+            rows = rows.join(open_.select("token"), "token", "left_semi") if turn else rows
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        good = cut(_verified(pairs, sets), "good")
+        good = cut(_verified(pairs, signatures, texts).distinct(), "good")
         tested = pairs if tested is None else tested.union(pairs)
         if not good.isEmpty():
             of = labels.toDF("node", "label")

@@ -40,6 +40,10 @@ def _hashes(w: Column, size: int) -> Column:
     return _runs(w, size, lambda parts: F.xxhash64(*parts))
 
 
+def _marked(w: Column, size: int) -> Column:
+    return F.transform(_hashes(w, size), lambda h: F.struct(F.lit(size).alias("k"), h.alias("h")))
+
+
 def _texts(w: Column, size: int) -> Column:
     return _runs(w, size, lambda parts: F.concat_ws(" ", *parts))
 
@@ -75,11 +79,10 @@ def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text
     small = lambda df: F.broadcast(df) if df.count() <= MAX_SENT else df
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     split = base.select("doc_id", words(F.col("text")).alias("w"))
-    each = F.concat(*[F.transform(_hashes(F.col("w"), k), lambda h, k=k: F.struct(F.lit(k).alias("k"), h.alias("h"))) for k in sizes]) if sizes != [WORDS] else _hashes(F.col("w"), WORDS)
     if sizes == [WORDS]:
-        exploded = split.select("doc_id", F.explode(each).alias("h"), F.lit(WORDS).alias("k"))
+        exploded = split.select("doc_id", F.explode(_hashes(F.col("w"), WORDS)).alias("h"), F.lit(WORDS).alias("k"))
     elif sizes:
-        exploded = split.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.h", "x.k")
+        exploded = split.select("doc_id", F.explode(F.concat(*[_marked(F.col("w"), k) for k in sizes])).alias("x")).select("doc_id", "x.h", "x.k")
     else:
         exploded = split.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).alias("k")).limit(0)
     pairs = cut(exploded.join(small(sketch), ["k", "h"]).select("doc_id", "item_id").distinct(), "pairs")

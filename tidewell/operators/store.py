@@ -48,7 +48,8 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         kind, at = getattr(schema, table.upper()), self._current()
-        return self.spark.read.schema(kind).parquet(f"{at}/{table}") if at else self.spark.createDataFrame([], kind)
+        columns = [x.split()[0] for x in kind.split(", ")]  # a partition column is read last
+        return self.spark.read.schema(kind).parquet(f"{at}/{table}").select(columns) if at else self.spark.createDataFrame([], kind)
 
     def write(self, **tables: DataFrame) -> None:
         at = self._current()

@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code of ``BITS`` bits is cut into segments, and an index row leads from a segment's value to each distinct code that
-holds it. Round r looks up, for every query still open, all values at distance r from its segments; so after round r every
+holds it. Round r looks up, for every query still open, all values at distance r from its segments (the first round those
+at distance 0 too, which saves a round that closes next to no query); so after round r every
 code within ``segments * (r + 1) - 1`` of the query has been met. A query closes when its k-th verified distance is within
 that radius. A code met is kept only if it is no farther than the k-th so far, tested in the join itself.
 
@@ -45,6 +46,11 @@ def _value(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def _masks(width: int, radii: tuple[int, ...]) -> list[int]:
+    """What to flip in a segment to get the values at these distances."""
+    return [sum(1 << x for x in c) for r in radii for c in combinations(range(width), r)]
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
     """The k nearest rows of each query, both given as (id, code): query_id, rank, id, distance."""
     parts = widths(bits, segments)
@@ -57,13 +63,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = BITS, segmen
     asked = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct(), "queries")
     open_ = asked.select("q").distinct().withColumn("bound", F.lit(bits))
     best = None
-    for r in range(max(w for _, w in parts) + 1):
-        masks = [F.array(*[F.lit(sum(1 << x for x in c)).cast("long") for c in combinations(range(w), r)]) for _, w in parts]
+    for r in range(1, max(max(w for _, w in parts), 1) + 1):
         probes = None
         for i, (s, w) in enumerate(parts):
-            if r > w:
+            masks = _masks(w, (0, 1) if r == 1 else (r,))
+            if not masks:
                 continue
-            one = open_.select("q", "bound", F.lit(i).alias("seg"), F.explode(masks[i]).alias("mask")).select("q", "bound", "seg", _value(F.col("q"), s, w).bitwiseXOR(F.col("mask")).alias("value"))
+            array = F.expr(f"array({', '.join(f'{m}L' for m in masks)})")
+            one = open_.select("q", "bound", F.lit(i).alias("seg"), F.explode(array).alias("mask")).select("q", "bound", "seg", _value(F.col("q"), s, w).bitwiseXOR(F.col("mask")).alias("value"))
             probes = one if probes is None else probes.union(one)
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
         near = probes.join(index, ["seg", "value"]).where(distance <= F.col("bound")).select("q", "code", distance.alias("distance"), "ids")

@@ -143,9 +143,20 @@ def test_classifier_edges(spark, docs, none):
         assert quality.score(none, model, 0.5).count() == 0
 
 
-def test_shingles_by_brute_force(spark):
+def test_similarity_by_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    got = {r["doc_id"]: r["n_shingles"] for r in similarity.op5_similarity_join(spark, SF).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity.op5_similarity_join(spark, SF).collect()}
+    sets = {}
     for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"]))
-        assert got[r["doc_id"]] == (len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0)
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert linked
+    while True:
+        before = dict(label)
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}

@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: No SQL expresses the stages; a test of run() against a brute-force version is still to be written.
+#: No SQL expresses the stages; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

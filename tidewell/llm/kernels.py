@@ -64,7 +64,7 @@ def words(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = SPACE) -> tup
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Hash of each word's bytes."""
-    n = 1 << max(21, int(len(data)).bit_length())
+    n = 1 << max(20, int(len(data)).bit_length())
     up, down = _powers(n)
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; texts are long, so Spark's 10,000 rows are too many.
 BATCH_ROWS = 1024
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text that the vectorised kernels take at once (a single longer text is taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -111,10 +111,11 @@ def prefix(n: int) -> int:
 
 
 def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: str) -> DataFrame:
-    """(token, hi, lo, size): prefix shingles that two classes or more hold; size is n << 32 | pos."""
+    """(token, hi, lo, size, prev): prefix shingles that two classes or more hold; size is n << 32 | pos, prev the shingle
+    before it in the set's order."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)
-    names = ["token", "hi", "lo", "size"]
+    names = ["token", "hi", "lo", "size", "prev"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +123,7 @@ def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: st
                 hi, lo = _sums(s, at)
                 counts = sent.value[(s & U(SKETCH - 1)).astype(np.int64)]
                 seen: set[tuple[int, int]] = set()
-                keep, rows, pos = [], [], []
+                keep, rows, pos, prev = [], [], [], []
                 for i in range(len(hi)):
                     a, b = int(at[i]), int(at[i + 1])
                     if a == b or (key := (int(hi[i]), int(lo[i]))) in seen:
@@ -133,10 +134,11 @@ def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: st
                     keep.append(first + a)
                     rows.append(np.full(p, i))
                     pos.append(np.arange(p))
+                    prev.append(np.concatenate((first[:1], first[:-1])) + a)
                 if keep:
                     row = np.concatenate(rows)
                     size = (np.diff(at)[row] << 32) | np.concatenate(pos)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[np.concatenate(keep)].view(np.int64), hi[row], lo[row], size)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[np.concatenate(keep)].view(np.int64), hi[row], lo[row], size, s[np.concatenate(prev)].view(np.int64))], names=names)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by token and class: repeats go, then tokens with one row; a batch's last row waits for the next."""
@@ -156,7 +158,7 @@ def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: st
         if held is not None and same:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
-    kinds = "token long, hi long, lo long, size long"
+    kinds = "token long, hi long, lo long, size long, prev long"
     ready(spark)
     source = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(emit, kinds)
     ready(spark, 1 << 16)
@@ -168,12 +170,17 @@ def _shared(docs: DataFrame, sketch: np.ndarray, id_column: str, text_column: st
 
 
 def _possible(a: str, b: str) -> Column:
-    """Length and positional filter of two rows of one token."""
+    """Length and positional filter of two rows of one token, if it is the first that their sets share.
+
+    It is not if the shingles before it are equal. So no linked pair is lost, as it passes at its first shared shingle,
+    and a passage that two sets share makes their pair once and not once a shingle.
+    """
     n = lambda x: F.shiftright(f"{x}.size", 32)
     pos = lambda x: F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1))
     low, high = F.least(n(a), n(b)), F.greatest(n(a), n(b))
-    most = F.least(pos(a), pos(b)) + F.least(n(a) - pos(a), n(b) - pos(b))  # before this token, and from it on
-    return (low * 100 >= high * PERCENT) & (most * 100 >= (low + high - most) * PERCENT)
+    most = F.least(n(a) - pos(a), n(b) - pos(b))  # nothing before this token, and what follows from it on
+    fresh = (pos(a) == 0) | (pos(b) == 0) | (F.col(f"{a}.prev") != F.col(f"{b}.prev"))
+    return (low * 100 >= high * PERCENT) & (most * 100 >= (low + high - most) * PERCENT) & fresh
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -275,7 +282,7 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     named = cut(each.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")), "named")
     members = each.join(named.withColumnRenamed("id", "first"), ["hi", "lo", "n"], "left").select("doc_id", "n", "first")
 
-    rows = _shared(docs, sketch, id_column, text_column).join(named.drop("n"), ["hi", "lo"]).where("id is not null").select("token", "id", "size")
+    rows = _shared(docs, sketch, id_column, text_column).join(named.drop("n"), ["hi", "lo"]).where("id is not null").select("token", "id", "size", "prev")
     rows = cut(rows, "rows")
     ids = cut(rows.select("id").distinct(), "ids")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -285,7 +292,7 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     tested, before = None, None
     for turn in range(ROUNDS):
         pick = F.min if turn % 2 == 0 else F.max
-        now = rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "size", "label") if turn else rows.withColumn("label", F.col("id"))
+        now = rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "size", "prev", "label") if turn else rows.withColumn("label", F.col("id"))
         one = cut(now.groupBy("token", "label").agg(pick("id").alias("id"), F.count("*").alias("k")), "one") if turn else now.select("token", "label", "id", F.lit(1).cast("long").alias("k"))
         per = one.groupBy("token").agg(pick("id").alias("lead"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts"))
         open_ = cut(per.where("parts > 1"), "open")

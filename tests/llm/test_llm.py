@@ -68,6 +68,20 @@ def test_store(spark, docs, none):
     assert idstore.read(spark, path).count() == 0
 
 
+def test_store_keeps_shared_passages_once():
+    rng, kept, total = np.random.default_rng(7), {}, 0
+    for _ in range(300):
+        passage = rng.integers(0, 30000, 1200)
+        for _ in range(2):
+            ids, at = np.concatenate([rng.integers(0, 30000, 100), passage, rng.integers(0, 30000, 100)]).astype("<u4"), 0
+            total += len(ids)
+            for end in idstore.cuts(ids):
+                kept[ids[at:end].tobytes()] = end - at
+                at = end
+            assert at == len(ids)
+    assert sum(kept.values()) < 0.8 * total
+
+
 def test_similarity(docs, none):
     got = similarity.near_duplicates(docs).collect()
     by = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}

@@ -142,6 +142,17 @@ def test_secrets(docs, none):
     assert low[0] / 40 > low[1] / 21
 
 
+def test_secrets_short_and_beside_base_spans(spark):
+    rng = np.random.default_rng(4)
+    codes = ["".join(rng.choice(list("QXZJKVWY"), 10)) + "77" for _ in range(200)]
+    texts = [f"the words of an ordinary line {i} and token = {c}" for i, c in enumerate(codes[1:])] + [f"see {codes[0]} here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.scan(rows, secrets.learn(rows)).where("doc_id = 199").collect()
+    assert [(s["start"], s["end"], s["added"]) for s in found[0]["spans"]] == [(4, 16, True)]
+    text = f"abc_{'a1' * 12}_{codes[0]} z"
+    assert secrets.candidates(text, secrets.base_spans(text)) == [(28, 41)]
+
+
 @pytest.mark.parametrize(("run", "label", "mark"), [(toxicity.op3_toxicity, "toxic", 0.9), (quality.op8_quality, "quality", 0.95)])
 def test_classifiers(spark, run, label, mark):
     sf = "/root/testdata/sf0.01"

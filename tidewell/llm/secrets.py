@@ -4,9 +4,11 @@ Base spans are the leftmost non-overlapping matches of three patterns. The strin
 kind, teach a probabilistic automaton for each kind: their prefix tree's states are merged, in the red-blue order, as
 long as a Hoeffding test finds their outgoing and ending frequencies compatible, and so are all states below them. The
 automaton reads classes of characters (digits, letters by case and range, each punctuation mark by itself), a class
-standing for its characters alike. Every maximal run of credential characters that no base span touches is scored, by
-its log likelihood under each automaton less that under a chain of classes learnt from ordinary runs; above a mark it is
-added as a span of the likeliest kind. Base spans are never changed.
+standing for its characters alike. Every maximal run of credential characters outside the base spans that holds a digit
+is scored (what stands left and right of a base span are runs too), by its log likelihood under each automaton less that
+under a chain of classes learnt from ordinary runs; from a mark on it is added as a span of the likeliest kind. Runs too
+short for any string of their length to reach the mark are left aside. Runs without a digit are not scored: the automata
+take words in capitals for keys. Base spans are never changed.
 
 Learning takes at most ``EXAMPLES`` distinct strings of each kind and ``ORDINARY`` ordinary runs, the first by hash over
 the whole corpus; scanning and scoring cover every document's whole text.
@@ -19,10 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = r"[A-Za-z0-9+/_.=-]"
 DIGIT = re.compile(r"[0-9]")
 
+#: Lengths up to which the shortest run that can reach the mark is looked for; longer ones are scored in any case.
+LOOKED = 64
+
 #: Examples of each kind, ordinary runs, the test's confidence, and the log likelihood ratio that adds a span.
 EXAMPLES, ORDINARY, ALPHA, MARK = 400, 2000, 0.02, 10.0
 
@@ -63,15 +67,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more credential characters, a digit among them, that no base span touches."""
-    starts, reach = [s[0] for s in spans], list(accumulate((s[2] for s in spans), max))
-    out = []
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        before = bisect_left(starts, b)
-        if DIGIT.search(m[0]) and not (before and reach[before - 1] > a):
-            out.append((a, b))
+def candidates(text: str, spans: list[tuple[int, int, int, str]], least: int = 1) -> list[tuple[int, int]]:
+    """Runs of ``least`` or more credential characters outside the base spans, a digit among them."""
+    run, out, at = re.compile(f"{RUN}{{{least},}}"), [], 0
+    for start, end in [*((s[0], s[2]) for s in spans), (len(text), len(text))]:
+        for m in run.finditer(text, at, max(at, start)):
+            if DIGIT.search(m[0]):
+                out.append(m.span())
+        at = max(at, end)
     return out
 
 
@@ -186,20 +189,42 @@ def likelihood(model: Automaton, strings: list[str]) -> np.ndarray:
     return out
 
 
+def _shortest(kind: Automaton, ordinary: Automaton, mark: float) -> int:
+    """The fewest characters with which the likeliest string reaches the mark, ``LOOKED`` at most."""
+    best = np.full((len(kind.to), len(ordinary.to)), -np.inf)  # of a pair of states: the highest ratio that leads there
+    best[0, 0] = 0
+    ends = kind.cost[:, [_END]] - ordinary.cost[:, _END]
+    for n in range(1, LOOKED):
+        after = np.full_like(best, -np.inf)
+        for c in range(_END):
+            np.maximum.at(after, (kind.to[:, [c]], ordinary.to[:, c][None]), best + kind.cost[:, [c]] - ordinary.cost[:, c])
+        best = after
+        if (best + ends).max() >= mark - 1e-6:
+            return n
+    return LOOKED
+
+
 @dataclass(frozen=True)
 class Grammars:
     kinds: tuple[Automaton | None, ...]
     ordinary: Automaton
     mark: float
 
+    @cached_property
+    def least(self) -> int:
+        """The shortest length of which a string can reach the mark."""
+        return min((_shortest(k, self.ordinary, self.mark) for k in self.kinds if k), default=LOOKED)
+
     def judge(self, strings: list[str]) -> list[int | None]:
         """The kind of each string, or None."""
         if not strings or not any(self.kinds):
             return [None] * len(strings)
+        each, strings = strings, list(dict.fromkeys(strings))
         base = likelihood(self.ordinary, strings)
         scores = np.stack([np.full(len(strings), -np.inf) if k is None else likelihood(k, strings) - base for k in self.kinds])
         best = scores.argmax(axis=0)
-        return [int(b) if s >= self.mark else None for b, s in zip(best, scores.max(axis=0), strict=True)]
+        known = {x: int(b) if s >= self.mark else None for x, b, s in zip(strings, best, scores.max(axis=0), strict=True)}
+        return [known[x] for x in each]
 
 
 def learn(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY, mark: float = MARK, text_column: str = "text") -> Grammars:
@@ -218,9 +243,24 @@ def learn(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY, m
                 k, s = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.string())], names=["kind", "s"])
 
+    most = max(examples, ordinary)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's first distinct rows of each kind; those of the whole are among them."""
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_arrays(batch.columns, names=["kind", "s", "h"])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).group_by(["kind", "s", "h"]).aggregate([])
+            rows = rows.sort_by([("kind", "ascending"), ("h", "ascending"), ("s", "ascending")])
+            kinds = rows.column("kind").to_numpy()
+            held = rows.take(np.flatnonzero(np.arange(len(kinds)) - np.searchsorted(kinds, kinds) < most)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
     each = docs.select(F.col(text_column).cast("string")).mapInArrow(run, "kind int, s string").where(F.length("s") <= 512).withColumn("h", F.xxhash64("s"))
+    each = each.mapInArrow(first, "kind int, s string, h long").distinct().mapInArrow(first, "kind int, s string, h long")
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "s"))
-    few = each.distinct().withColumn("rank", rank).where(F.col("rank") <= max(examples, ordinary)).where(F.col("rank") <= F.when(F.col("kind") < len(KINDS), examples).otherwise(ordinary))
+    few = each.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.when(F.col("kind") < len(KINDS), examples).otherwise(ordinary))
     rows = sorted((r["kind"], r["s"]) for r in few.select("kind", "s").collect())
     of = lambda k: [s for kind, s in rows if kind == k]
     return Grammars(tuple(infer(of(k)) for k in range(len(KINDS))), chain(of(len(KINDS))), mark)
@@ -243,7 +283,7 @@ def scan(docs: DataFrame, grammars: Grammars, id_column: str = "doc_id", text_co
                 base = base_spans(text) if text else []
                 per.append(base)
                 if text:
-                    for a, b in candidates(text, base):
+                    for a, b in candidates(text, base, sent.value.least):
                         runs.append(text[a:b])
                         owners.append((i, a, b))
             extra: list[list[tuple[int, int, int]]] = [[] for _ in per]
@@ -270,7 +310,7 @@ def redact(docs: DataFrame, grammars: Grammars, text_column: str = "text", mask:
         for batch in batches:
             texts = batch.column(place).to_pylist()
             spans = [[s[:3:2] for s in base_spans(t)] if t else [] for t in texts]
-            owners = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base_spans(t))]
+            owners = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base_spans(t), sent.value.least)]
             for kind, (i, a, b) in zip(sent.value.judge([texts[i][a:b] for i, a, b in owners]), owners, strict=True):
                 if kind is not None:
                     spans[i].append((a, b))

@@ -4,8 +4,9 @@ Every stage takes the documents that the one before it kept, whole, and but for
 ``documents``. No stage samples or caps its input. Between stages documents are written and read again, so each begins
 with short lineage.
 
-A null text is kept by every stage; rows without a doc_id are kept, as they are not the copy of another document's id; an
-empty table passes through and packs to no rows.
+A null text is kept by every stage. Rows are removed by a key of their own, so those with a null or a repeated doc_id are
+judged by their own text; of copies that with the smallest id stays, null ids last. An empty table passes through and
+packs to no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,18 @@ from tidewell.llm import decontamination, packing, quality, secrets, similarity,
 from tidewell.llm.shared import cut, table
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Documents whose id isn't listed. The list is written first: Spark sends it to every task only if its files' size is
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key for each row, written so that it stays the same."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Documents whose row isn't listed. The list is written first: Spark sends it to every task only if its files' size is
     below the session's limit, and else joins by shuffle."""
-    return docs.join(cut(ids.where("doc_id is not null").distinct(), name), "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(cut(rows.distinct(), name), ROW, "left_anti").drop(ROW)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +42,18 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents that with the smallest id stays."""
-    groups = similarity.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id != component_id").select("doc_id"), "copies")
+    keyed = _keyed(docs)
+    groups = similarity.near_duplicates(keyed, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    each = cut(groups.join(keyed.select(ROW, "doc_id"), ROW), "groups")
+    first = each.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
+    return _without(keyed, each.select(ROW).join(first.select(ROW), ROW, "left_anti"), "copies").select(docs.columns)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontamination.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
+    keyed = _keyed(docs)
+    leaks = decontamination.contained(keyed, table(spark, sf_dir, "benchmark"), ROW).select(F.col("doc_id").alias(ROW))
+    return _without(keyed, leaks, "leaks").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

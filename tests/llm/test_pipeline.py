@@ -82,3 +82,14 @@ def test_pipeline_by_brute_force(spark):
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:], strict=False))
     assert all(a[1] + a[2] <= 2048 for a in places)
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    copy, leak = "a b c d e f g h", "the item p q r s t u v"
+    rows = [(None, copy), (None, copy), (5, copy), (5, copy), (3, copy), (7, copy), (7, "not a copy of any other"), (8, leak), (8, "clean text of a repeated id"), (None, leak), (None, "clean"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.keep_one(spark, docs, "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(3, copy), *rows[6:8], *rows[8:9], *rows[10:]]))
+    spark.createDataFrame([(1, "p q r s t u v")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in corpus_pipeline.keep_unleaked(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [x for x in rows if x[1] != leak]))

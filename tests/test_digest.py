@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.functions.period import canonical, month_bounds
 from tidewell.operators.classify import reply_object
-from tidewell.operators.store import Store
+from tidewell.operators.store import Store, numbered_whole
 from tidewell.plans import catalogue, digest
 from tidewell.sources.settings import dotenv
 
@@ -72,6 +72,18 @@ def test_commands(spark, tmp_path):
         digest.classify(spark, store, "2026-09", {"a": lambda text: "{}"})
 
 
+def test_numbered_whole(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = numbered_whole(spark.range(0, 3000, 3, 5).selectExpr("2999 - id AS k"), 10, "k")
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted((r["id"], r["k"]) for r in got.collect()) == [(11 + i, 2 + 3 * i) for i in range(1000)]
+    finally:
+        spark.conf.unset(key)
+    assert numbered_whole(spark.createDataFrame([], "k long"), 10, "k").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_oracle(spark, name):
     con = duckdb.connect()

@@ -30,6 +30,13 @@ def numbered(rows: DataFrame, after: int, order: Column | str) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(Window.orderBy(order)).cast("long") + after)
 
 
+def numbered_whole(rows: DataFrame, after: int, order: str) -> DataFrame:
+    """The same ids for a whole table: rows are sorted over many tasks, and each task numbers its own after those before it."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = rows.orderBy(order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + after))
+    return rows.sparkSession.createDataFrame(placed, f"{kind}, id long")
+
+
 class Store:
     """Snapshots of the tables. A write stages a new snapshot, then points to it in one rename; until then, and if the
     write fails, the former one stands."""

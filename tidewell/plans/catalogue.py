@@ -118,6 +118,11 @@ def surrogate_ids(spark, sf_dir):
     return S.numbered(period_filter(spark, sf_dir).select("o_orderkey"), 1000, "o_orderkey")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1000 AS id FROM orders")
+def surrogate_ids_all_periods(spark, sf_dir):
+    return S.numbered_whole(read(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey")
+
+
 @query("SELECT o_orderkey AS id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE strftime(o_orderdate, '%Y-%m') = '1998-07'")
 def classify_rows(spark, sf_dir):
     return C.requests(messages(spark, sf_dir), entries(spark, sf_dir), MONTH)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,14 +28,38 @@ def ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the machine; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if release:
+        release(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, whose worker gives memory back when a task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset, as in tests on one machine, a temporary folder is set.
+    ``spark.checkpoint.dir`` names it. Only where that is unset and master and workers are one machine, as in tests, a
+    temporary folder is set; on a cluster an unset folder is an error.
     """
     key = "spark.checkpoint.dir"
     root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set(key, root)
     return f"{root.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
@@ -43,7 +69,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def spent(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

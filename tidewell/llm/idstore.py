@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, ready, remove, scratch
+from .shared import cut, ready, remove, scratch, tidy
 from .tokens import encoder
 
 #: Chunk lengths in ids: fewest, expected beyond the fewest, most.
@@ -115,7 +115,7 @@ def _staged(docs: DataFrame, end_id: int, width: int, vocabulary: str | None, id
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column), F.col(text_column).cast("string"))
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, digests array<binary>, sizes array<int>, root binary, data binary")
+    return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, n_tokens long, digests array<binary>, sizes array<int>, root binary, data binary")
 
 
 def _left_out(staged: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, width: int = 2, vocabular
                 d, n, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["digest", "n", "ids"])
 
-    source.mapInArrow(chunks, "digest binary, n long, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    source.mapInArrow(tidy(chunks), "digest binary, n long, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     order = ["doc_id", "row"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -233,12 +233,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield from done(held)
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    lists = recipes.select("doc_id", "start", "digests", "sizes", "root").mapInArrow(rooted, f"doc_id {kind}, start long, digests array<binary>, sizes array<int>, after array<long>")
+    lists = recipes.select("doc_id", "start", "digests", "sizes", "root").mapInArrow(tidy(rooted), f"doc_id {kind}, start long, digests array<binary>, sizes array<int>, after array<long>")
     each = lists.select("doc_id", "start", F.explode(F.arrays_zip("digests", "sizes", "after")).alias("x"))
     each = each.select("doc_id", "start", F.col("x.digests").alias("digest"), F.col("x.sizes").cast("long").alias("n"), F.col("x.after").alias("after"))
-    sums = chunks.select("digest", "ids").mapInArrow(checked, "digest binary, crc long")
+    sums = chunks.select("digest", "ids").mapInArrow(tidy(checked), "digest binary, crc long")
     found = each.join(sums, "digest", "left").select("doc_id", "start", "n", "after", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"))
-    parts = found.mapInArrow(moved, f"doc_id {kind}, start long, n long, part long")
+    parts = found.mapInArrow(tidy(moved), f"doc_id {kind}, start long, n long, part long")
     return parts.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"))
 
 
@@ -256,7 +256,7 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
             yield batch.select(["doc_id", "start"]).append_column("ids", pa.array(out, pa.list_(pa.int32())))
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, start long, ids array<int>")
 
 
 def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,10 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Bytes whose powers are at hand; longer stretches are hashed block by block.
+BLOCK = 1 << 20
+
+
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, dtype=np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(BLOCK, _BASE, dtype=np.uint64)
+    down = np.full(BLOCK, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -62,14 +66,33 @@ def words(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = SPACE) -> tup
     return starts, stops, np.searchsorted(ends, starts, side="left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hash of each word's bytes."""
-    n = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(n)
+def _sums(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Polynomial of each word, all of them within ``BLOCK`` bytes of ``data``."""
+    up, down = _powers()
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return (total[stops] - total[starts]) * down[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hash of each word's bytes. However long the text or a word, the tables of powers stay those of a block."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = int(np.searchsorted(stops, first + BLOCK, side="right"))
+        if j > i:
+            part = data[first : int(stops[j - 1])]
+            out[i:j] = _sums(part, starts[i:j] - first, stops[i:j] - first)
+        else:  # a word longer than a block
+            j, value, step = i + 1, 0, pow(_BASE, BLOCK, 1 << 64)
+            for k, at in enumerate(range(first, int(stops[i]), BLOCK)):
+                part = data[at : min(at + BLOCK, int(stops[i]))]
+                value += int(_sums(part, np.array([0]), np.array([len(part)]))[0]) * pow(step, k, 1 << 64)
+            out[i] = value % 2**64
+        i = j
+    return mix(out + (stops - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

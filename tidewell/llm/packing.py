@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, ready
+from .shared import cut, ready, tidy
 from .tokens import encoder
 
 #: Pieces that one task ranks together.
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str
     ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str |
 
     full = ranked(table, counts).select(*table.columns, "rank")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
-    return full.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return full.mapInArrow(tidy(run), f"{kinds}, sequence_id long, offset long")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .labelled import held_out, sample
-from .shared import ready, slices
+from .shared import ready, slices, tidy
 
 #: The bound of the sample, the table's rows (a power of two), the vectors' length, and the descent.
 SAMPLE_ROWS, BUCKETS, LENGTH, EPOCHS, RATE = 3000, 1 << 16, 8, 6, 0.5
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 idx, part = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(idx, pa.binary()), pa.array(part, pa.binary())], names=["doc_id", "label", "idx", "part"])
 
-    found = sample(docs, labels, label, rows, id_column, text_column).mapInArrow(run, "doc_id string, label int, idx binary, part binary").toArrow()
+    found = sample(docs, labels, label, rows, id_column, text_column).mapInArrow(tidy(run), "doc_id string, label int, idx binary, part binary").toArrow()
     found = found.sort_by("doc_id")
     held = [(y, np.frombuffer(i, "<i4"), np.frombuffer(p, "<f4")) for y, i, p in zip(*(found.column(c).to_pylist() for c in ("label", "idx", "part")), strict=True)]
     return fit(held, buckets)
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model, threshold: float, id_column: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*names, mark + "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{kinds}, {mark}score double").withColumn(mark + "predicted", (F.col(mark + "score") >= threshold).cast("int"))
+    return source.mapInArrow(tidy(run), f"{kinds}, {mark}score double").withColumn(mark + "predicted", (F.col(mark + "score") >= threshold).cast("int"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import ready
+from .shared import ready, tidy
 
 #: Kinds in their order, and their patterns (fixed values).
 KINDS = ("assign", "access", "hex")
@@ -257,8 +257,8 @@ def learn(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY, m
         if held is not None:
             yield from held.to_batches()
 
-    each = docs.select(F.col(text_column).cast("string")).mapInArrow(run, "kind int, s string").where(F.length("s") <= 512).withColumn("h", F.xxhash64("s"))
-    each = each.mapInArrow(first, "kind int, s string, h long").distinct().mapInArrow(first, "kind int, s string, h long")
+    each = docs.select(F.col(text_column).cast("string")).mapInArrow(tidy(run), "kind int, s string").where(F.length("s") <= 512).withColumn("h", F.xxhash64("s"))
+    each = each.mapInArrow(tidy(first), "kind int, s string, h long").distinct().mapInArrow(tidy(first), "kind int, s string, h long")
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "s"))
     few = each.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.when(F.col("kind") < len(KINDS), examples).otherwise(ordinary))
     rows = sorted((r["kind"], r["s"]) for r in few.select("kind", "s").collect())
@@ -296,7 +296,7 @@ def scan(docs: DataFrame, grammars: Grammars, id_column: str = "doc_id", text_co
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_column).cast("string").alias("__text"))
-    return source.mapInArrow(run, f"{kinds}, n_assign long, n_access long, n_hex long, spans array<struct<start:long,kind:string,end:long,added:boolean>>")
+    return source.mapInArrow(tidy(run), f"{kinds}, n_assign long, n_access long, n_hex long, spans array<struct<start:long,kind:string,end:long,added:boolean>>")
 
 
 def redact(docs: DataFrame, grammars: Grammars, text_column: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -326,7 +326,7 @@ def redact(docs: DataFrame, grammars: Grammars, text_column: str = "text", mask:
             columns = [pa.array(texts, c.type) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def listed(spans: Column) -> Column:

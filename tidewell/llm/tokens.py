@@ -17,8 +17,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Distinct words in each of a worker's two generations; when the younger is full, the older goes.
-CACHE_WORDS = 400_000
+#: Bytes, as estimated from lengths, of each of the two generations of words and of pieces that a worker keeps; when the
+#: younger is full, the older goes. Longer words are encoded each time they are met.
+CACHE_BYTES, LONGEST = 40 << 20, 64
 #: The tokenizer's own split pattern (fixed values: its JSON file holds the same).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Control characters that str.split() takes for white space and the tokenizer may not.
@@ -85,16 +86,19 @@ class _Known(dict):
     """Word to ids, filled as words are met; a word of the older generation moves to the younger when met again."""
 
     def __init__(self, make):
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
+        if len(key) > LONGEST:
+            return self.make(key)
+        if self.held >= CACHE_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
         self[key] = got
+        self.held += 170 + len(key) + len(got)  # a key, a value and their place in the table
         return got
 
 

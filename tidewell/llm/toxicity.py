@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .labelled import held_out, sample
 from .quality import score
-from .shared import cut, ready
+from .shared import cut, ready, tidy
 
 #: The bound of the sample, the most lexicon voters, and the fewest toxic documents that a word must stand in.
 SAMPLE_ROWS, VOTERS, SUPPORT = 5000, 96, 5
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    each = chosen.select("label", "text").mapInArrow(bags, "label int, words array<string>").select("label", F.explode("words").alias("w"))
+    each = chosen.select("label", "text").mapInArrow(tidy(bags), "label int, words array<string>").select("label", F.explode("words").alias("w"))
     counts = each.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     likely = counts.where((F.col("a") >= support) & (F.col("a") * clean > F.col("b") * 2 * toxic))  # of the bounded sample
     voters = induce([tuple(r) for r in likely.collect()], toxic, clean)
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             found = voters.votes(batch.column("text")).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "votes"])
 
-    table = chosen.select("label", "text").mapInArrow(vote, "label int, votes binary").toArrow()
+    table = chosen.select("label", "text").mapInArrow(tidy(vote), "label int, votes binary").toArrow()
     votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.int8).reshape(table.num_rows, -1).astype(np.float32)
     truth = table.column("label").to_numpy().astype(np.float64)
     weights, bias = linear(votes, label_model(votes, truth))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, ready, scratch
+from .shared import cut, ready, scratch, tidy
 
 #: Format constants (fixed values).
 MAGIC = b"\x1f\x8b\x08"
@@ -89,7 +89,7 @@ def write(pages: DataFrame, path: str, least: int = 0, id_column: str = "page_id
                 out.append(record(page_id, url, html.encode(), refers, target))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+    joined.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
     _name(spark, path)
 
 
@@ -226,7 +226,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_pa
         if found:
             yield batch(found)
 
-    return splits.mapInArrow(run, schema)
+    return splits.mapInArrow(tidy(run), schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

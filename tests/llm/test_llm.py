@@ -2,14 +2,19 @@
 
 import base64
 import hashlib
+import math
+import os
+import random
 import re
+import string
+import subprocess
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontamination, hamming, idstore, packing, quality, secrets, similarity, toxicity, warc
+from tidewell.llm import chat, components, decontamination, hamming, idstore, kernels, labelled, packing, quality, secrets, similarity, toxicity, warc
 from tidewell.llm.shared import scratch
 from tidewell.llm.tokens import WordEncoder
 
@@ -68,6 +73,31 @@ def test_store(spark, docs, none):
     assert idstore.read(spark, path).count() == 0
 
 
+def test_store_finds_corruption(spark, docs):
+    path = scratch(spark, "store")
+    idstore.write(docs, path)
+
+    def broken(table, change):
+        bad = scratch(spark, "store")
+        for x in ("chunks", "recipes", "manifest", "top"):
+            df = spark.read.parquet(f"{path}/{x}")
+            (change(df) if x == table else df).write.parquet(f"{bad}/{x}")
+        with pytest.raises(Exception, match="match|missing"):
+            idstore.read(spark, bad).collect()
+
+    broken("recipes", lambda df: df.withColumn("sizes", F.transform("sizes", lambda x: x + 1)))
+    broken("recipes", lambda df: df.withColumn("digests", F.reverse("digests")))
+    broken("recipes", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1))
+    broken("recipes", lambda df: df.withColumn("doc_id", F.col("doc_id") + 1))
+    broken("recipes", lambda df: df.where("start > 0"))
+    broken("chunks", lambda df: df.withColumn("ids", F.concat("ids", F.lit(b"\0\0"))))
+    broken("chunks", lambda df: df.where("n > 5"))
+    broken("manifest", lambda df: df.withColumn("root", F.lit(b"0" * 16)))
+    broken("top", lambda df: df.withColumn("store", F.lit(b"0" * 16)))
+    with pytest.raises(Exception, match="does not fit"):
+        idstore.write(docs, scratch(spark, "store"), width=1)
+
+
 def test_store_keeps_shared_passages_once():
     rng, kept, total = np.random.default_rng(7), {}, 0
     for _ in range(300):
@@ -102,16 +132,58 @@ def test_chat(spark):
     assert got == {2: 2, 3: 2, 5: 1}
 
 
-def test_hamming(spark):
+def _nearest(rows, queries, k):
+    """query_id, rank, id, distance by comparing all."""
+    near = {}
+    for q, c in queries:
+        for i, x in rows:
+            if q != i and None not in (q, c, i, x):
+                d = ((c ^ x) & (2**64 - 1)).bit_count()
+                near.setdefault(q, {})[i] = min(d, near.get(q, {}).get(i, 64))
+    return {(q, r, i, d) for q, found in near.items() for r, (d, i) in enumerate(sorted((d, i) for i, d in found.items())[:k], 1)}
+
+
+@pytest.mark.parametrize("case", ["distinct ids", "repeated ids", "few codes", "empty"])
+def test_hamming(spark, case):
     rng = np.random.default_rng(5)
-    codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 300)] + [7] * 40
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)] + [(None, 1), (900, None)], "id long, code long")
-    got = {}
-    for r in hamming.search(rows, rows.where("id % 20 = 0"), 5).collect():
-        got.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
-    for q in range(0, 340, 20):
-        want = sorted(((codes[q] ^ c) & (2**64 - 1)).bit_count() * 1000 + i for i, c in enumerate(codes) if i != q)[:5]
-        assert sorted(d * 1000 + i for d, i in got[q]) == want
+    codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 200)] + [7] * 60 + [7 ^ (1 << j) for j in range(20)]
+    rows = {
+        "distinct ids": [*enumerate(codes), (None, 1), (900, None), (7, codes[7])],
+        "repeated ids": [(int(rng.integers(0, 90)), c) for c in codes],
+        "few codes": [(5, c) for c in range(18)] + [(i, 3) for i in range(20, 60, 4)],
+        "empty": [],
+    }[case]
+    df = spark.createDataFrame([(i, c, 0) for i, c in rows], "id long, code long, distance int")
+    queries = [r for r in rows if r[0] is not None and (r[0] % 20 == 0 or r[0] == 5)]
+    got = [tuple(r) for r in hamming.search(df, df.where("id % 20 = 0 or id = 5"), 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == _nearest(rows, queries, 3)
+
+
+def test_sign_code(spark):
+    rows = spark.createDataFrame([(1, [1.0, -1.0, 0.0, None, 2.0]), (2, []), (3, None), (4, [-1.0] * 63 + [1.0])], "id long, v array<double>")
+    got = {r["id"]: r["c"] for r in rows.select("id", hamming.sign_code("v").alias("c")).collect()}
+    assert got == {1: 17, 2: 0, 3: None, 4: -(2**63)}
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.sign_code("v")).collect()
+
+
+def test_archives_are_gzip(spark, tmp_path):
+    big = "".join(random.Random(1).choices(string.printable, k=17 << 20))
+    pages = spark.createDataFrame([(1, "u", "a", 5), (2, "v", "a", 6), (3, "w", big, 7), (4, None, None, 8)], "page_id long, url string, html string, payload_bytes int").coalesce(1)
+    path = scratch(spark, "warc")
+    warc.write(pages, path)
+    files = [f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".warc.gz")]
+    whole = b""
+    for f in files:
+        at = f"{path.removeprefix('file://')}/{f}"
+        assert subprocess.run(["gzip", "-t", at], capture_output=True).returncode == 0
+        whole += subprocess.run(["gzip", "-dc", at], capture_output=True, check=True).stdout
+    assert whole.count(b"WARC/1.1\r\n") == 4
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(spark, path).collect()}
+    assert got == {1: (1, "response", None), 2: (1, "revisit", 1), 3: (len(big), "response", None), 4: (0, "response", None)}
+    none = scratch(spark, "warc")
+    warc.write(pages.limit(0), none)
+    assert warc.read(spark, none).count() == 0
 
 
 def test_warc(spark):
@@ -145,12 +217,43 @@ def test_secrets(docs, none):
 def test_secrets_short_and_beside_base_spans(spark):
     rng = np.random.default_rng(4)
     codes = ["".join(rng.choice(list("QXZJKVWY"), 10)) + "77" for _ in range(200)]
-    texts = [f"the words of an ordinary line {i} and token = {c}" for i, c in enumerate(codes[1:])] + [f"see {codes[0]} here"]
+    words = ["".join(rng.choice(["tion", "er", "lich", "ou", "ment", "re"], 4)) for _ in range(300)]
+    texts = [f"the words {words[i]} of an {words[i + 50]} line {i} and token = {c}" for i, c in enumerate(codes[1:])] + [f"see {codes[0]} here"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = secrets.scan(rows, secrets.learn(rows)).where("doc_id = 199").collect()
     assert [(s["start"], s["end"], s["added"]) for s in found[0]["spans"]] == [(4, 16, True)]
     text = f"abc_{'a1' * 12}_{codes[0]} z"
-    assert secrets.candidates(text, secrets.base_spans(text)) == [(28, 41)]
+    assert secrets.candidates(text, secrets.base_spans(text), 6) == [(28, 41)]
+
+
+def test_grammars_find_planted_formats():
+    rng, letters = random.Random(3), string.ascii_letters + string.digits
+    some = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    ghp, key, hexes = (lambda: "ghp_" + some(letters, 36)), (lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16)), (lambda: some("0123456789abcdef", 40))
+    words = [some(["the", "re", "tion", "er", "lich", "ou"], rng.randrange(2, 6)) for _ in range(4000)]
+    model = secrets.Grammars(tuple(secrets.infer([make() for _ in range(300)]) for make in (ghp, key, hexes)), secrets.chain(words[:2000]), secrets.MARK)
+    assert [len(k.to) for k in model.kinds] == [41, 21, 41]  # a place each, and the end
+    for kind, make in enumerate((ghp, key, hexes)):
+        assert sum(x == kind for x in model.judge([make() for _ in range(200)])) >= 190
+    others = [some("0123456789abcdef", n) for n in (20, 23) for _ in range(100)] + [some(string.digits, 16) for _ in range(100)] + [some(string.ascii_uppercase, 8) for _ in range(100)]
+    assert not any(x is not None for x in model.judge(words[2000:] + others))
+    assert model.least == 20
+
+
+def test_secrets_edges(spark):
+    rng = random.Random(5)
+    keys = ["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)) for _ in range(80)]
+    bare = "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36))
+    made = ["ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)) for _ in range(80)]
+    words = ["".join(rng.choices(["tion", "er", "lich", "ou", "ment", "re"], k=4)) for _ in range(300)]
+    long = " ".join(words) * 200 + " " + bare
+    texts = [f"line {i} {words[i]} token = {m} and {k}" for i, (m, k) in enumerate(zip(made, keys, strict=True))] + [long, long, f"password: {bare}", f"{'0' * 24}g{made[0][4:]}", None, ""]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["added"]) for s in r["spans"]] for r in secrets.scan(rows, secrets.learn(rows)).collect()}
+    at = len(long) - 40
+    assert found[80] == found[81] == [("assign", at, at + 40, True)]
+    assert found[82] == [("assign", 0, 50, False)] and found[84] == found[85] == []
+    assert found[83] == [("hex", 0, 24, False)]  # what is left of it is no whole string of a format
 
 
 @pytest.mark.parametrize(("run", "label", "mark"), [(toxicity.op3_toxicity, "toxic", 0.9), (quality.op8_quality, "quality", 0.95)])
@@ -160,6 +263,56 @@ def test_classifiers(spark, run, label, mark):
     assert got.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).collect()[0][0] > mark
 
 
+def test_label_model_overrules_labels():
+    """Where voters agree against a label, the posterior goes with them; without votes it would stay."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(1200) < 0.2
+    votes = (rng.random((1200, 6)) < np.where(truth[:, None], 0.6, 0.01)).astype(np.float32)
+    votes = np.hstack([votes, (votes.sum(axis=1, keepdims=True) == 0)]).astype(np.float32)
+    labels = truth.astype(float)
+    wrong = rng.choice(np.flatnonzero(truth & (votes[:, :6].sum(axis=1) >= 3)), 25, replace=False)
+    labels[wrong] = 0
+    labels[600:] = np.nan
+    wrong = wrong[wrong < 600]
+    assert len(wrong) > 5
+    found = toxicity.label_model(votes, labels, 6)
+    assert (found.toxic[wrong] > 0.5).all()
+    assert ((found.toxic > 0.5) == truth)[600:].mean() > 0.94
+    alone = toxicity.label_model(np.zeros_like(votes), labels, 6).toxic
+    assert (alone[wrong] < 0.5).all()
+
+
+def test_words_are_split_alike():
+    voters = toxicity.Voters(("übel",), ("schli**",))
+    texts = ["ein „Übel“…", "ÜBEL", "übelst", "schlimm, schlicht", "schlimm", None, "", "you are a liar", "x" * (3 << 20) + " übel"]
+    got = voters.votes(toxicity.pa.array(texts))
+    assert got[:, 0].tolist() == [1, 1, 0, 0, 0, 0, 0, 0, 1]
+    assert got[:, 1].tolist() == [0, 0, 0, 1, 0, 0, 0, 0, 0]
+    assert got[7, 2] == 1 and got[:, -1].tolist() == [0, 0, 1, 0, 1, 1, 1, 1, 0]
+    assert toxicity.terms("„Übel“…") == {"übel"}
+
+
+@pytest.mark.parametrize(("run", "label", "mark"), [(toxicity.op3_toxicity, "toxic", 0.7), (quality.op8_quality, "quality", 0.5)])
+def test_classifier_columns(spark, run, label, mark):
+    """The bounds of the score, the threshold, who is held out, and that held-out labels are never learnt from."""
+    sf = "/root/testdata/sf0.001"
+    rows = run(spark, sf).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= mark) for r in rows)
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    turned = labels.withColumn(label, F.when(labelled.held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    module = toxicity if label == "toxic" else quality
+    one, two = (quality.score(docs, module.train(docs, x), mark).agg(F.sum(F.round("score", 6))).collect()[0][0] for x in (labels, turned))
+    assert math.isclose(one, two, abs_tol=1e-3)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(3, f"t{i}") for i in range(500)] + [(i, "u") for i in range(10, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (10, 1), (12, None)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 10, unlabelled=20).collect()
+    assert len([r for r in got if r["label"] is None]) == 20 and sorted((r["doc_id"], r["text"], r["label"]) for r in got if r["label"] is not None) == [(i, t, 1) for i, t in ((3, "t0"), (10, "u")) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
 def test_classifier_edges(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     for module in (toxicity, quality):
@@ -185,3 +338,38 @@ def test_similarity_by_brute_force(spark):
         if label == before:
             break
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(label[a] != label[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = [tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(label) and dict(got) == label
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hashes_of_long_words(monkeypatch):
+    data = np.frombuffer(b"abc " + b"x" * 5000 + b" abc " + b"x" * 5000 + b" y\n", np.uint8)
+    starts, stops, _ = kernels.words(data, np.array([len(data) - 1]))
+    whole = kernels.word_hashes(data, starts, stops)
+    monkeypatch.setattr(kernels, "BLOCK", 1024)
+    kernels._powers.cache_clear()
+    assert (kernels.word_hashes(data, starts, stops) == whole).all() and whole[0] == whole[2] and whole[1] == whole[3] != whole[4]
+    kernels._powers.cache_clear()
+
+
+def test_sketch_never_counts_too_little():
+    rng = np.random.default_rng(2)
+    fine, coarse = np.zeros(1 << 10, np.uint8), np.zeros(similarity.COARSE, np.uint32)
+    s = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    for _ in range(3):
+        similarity._count(fine, coarse, s[:300])
+    similarity._count(fine, coarse, s)
+    byte, shift = similarity._fine(s, 1 << 11)
+    n = (fine[byte] >> shift) & 15
+    assert (n[:300] >= 4).all() and (n >= 1).all() and (n == 1).any()

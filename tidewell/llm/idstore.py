@@ -2,22 +2,26 @@
 
 A rolling hash over the ids cuts each document's stream where the hash falls below a mark, so equal passages give equal
 chunks wherever they stand. A chunk is stored once under its digest. A recipe lists a document's chunks; the root of a
-hash tree over them, and of one over a block's documents, stand in the manifest.
+hash tree over their digests and sizes stands in it. A block's root is that of a tree over its documents' ids, places,
+numbers of ids and roots; a part's root is over its blocks, and the store's over its parts.
 
 Layout under the store's path, all Parquet, written and committed by Spark:
 
 ``chunks``    digest binary, n long, ids binary (little-endian, ``width`` bytes an id), in no order
-``recipes``   block, doc_id, start, n_tokens, digests, sizes, root: in ascending doc_id, a file for each block
-``manifest``  block, documents, n_tokens, start, root and, repeated, the width
+``recipes``   part, block, doc_id, start, n_tokens, digests, sizes, root: in ascending doc_id
+``manifest``  part, block, documents, n_tokens, start, root: a block has at most ``BLOCK`` documents
+``top``       part, start, blocks, root and, repeated, the width and the store's root
 
 Which copy of a chunk is written is settled on digests alone: text and ids are not shuffled unless the copies to leave
 out are too many to send to each task (:data:`MAX_SENT`); then documents and their lists meet in a join.
 
-Reading back checks every chunk against its digest and every recipe against its root, and gets a document's checksum
-from those of its chunks (a checksum of joined parts follows from the parts' checksums and lengths), so no ids move.
+Reading back checks every chunk against its digest, every recipe against its root and its chunks' true sizes, every block
+against the manifest, every part against ``top`` and that against the store's root; what does not match is an error. A
+document's number of ids is that of its chunks' bytes, and its checksum follows from theirs (a checksum of joined parts
+follows from the parts' checksums and lengths), so no ids move.
 
 Defined cases: a null or empty text has only the end id; an empty table gives an empty store; rows with a null doc_id come
-first; repeated rows have a recipe each; other columns are ignored.
+first; repeated rows have a recipe each; an id that does not fit the width is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, ready, remove, scratch, tidy
+from .shared import cut, ready, remove, scratch, spent, tidy
 from .tokens import encoder
 
 #: Chunk lengths in ids: fewest, expected beyond the fewest, most.
 LEAST, USUAL, MOST = 64, 256, 2048
+#: Documents of a block.
+BLOCK = 4096
 #: Chunk copies, at 16 bytes each, that may be sent to every task.
 MAX_SENT = 1_000_000
 
@@ -73,6 +79,10 @@ def root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def recipe_root(digests: list[bytes], sizes: list[int]) -> bytes:
+    return root([d + n.to_bytes(8, "little") for d, n in zip(digests, sizes, strict=True)])
+
+
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of bit-reversed polynomials modulo the checksum's."""
     out = np.zeros_like(a)
@@ -101,11 +111,14 @@ def _staged(docs: DataFrame, end_id: int, width: int, vocabulary: str | None, id
             rows = []
             for text in batch.column(2).to_pylist():
                 ids = np.frombuffer(encode(text) + last, "<u4")
+                if width < 4 and int(ids.max()) >> (8 * width):
+                    raise ValueError(f"an id does not fit {width} bytes")
                 data = ids.astype(f"<u{width}").tobytes()
                 ends = cuts(ids)
                 starts = [0, *ends[:-1]]
                 digests = [digest(data[a * width : b * width]) for a, b in zip(starts, ends, strict=True)]
-                rows.append((len(ids), digests, [b - a for a, b in zip(starts, ends, strict=True)], root(digests), data))
+                sizes = [b - a for a, b in zip(starts, ends, strict=True)]
+                rows.append((len(ids), digests, sizes, recipe_root(digests, sizes), data))
             if rows:
                 n, d, s, r, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -164,41 +177,68 @@ def write(docs: DataFrame, path: str, end_id: int = 2, width: int = 2, vocabular
     order = ["doc_id", "row"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     recipes = staged.select("row", "doc_id", "n_tokens", "digests", "sizes", "root").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    blocks = cut(recipes.withColumn("block", F.spark_partition_id()), "recipes")
+    dealt = cut(recipes.withColumn("part", F.spark_partition_id()), "recipes")
     remove(spark, stage)
-    total = F.sum("n_tokens")
-    heads = blocks.groupBy("block").agg(F.count("*").alias("documents"), total.alias("n_tokens"))
-    known = {r["block"]: (r["documents"], r["n_tokens"]) for r in heads.collect()}  # a row for each block
+    heads = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each partition
     begins, at = {}, 0
-    for block in sorted(known):
-        begins[block], at = at, at + known[block][1]
-    head = spark.createDataFrame([(b, *known[b], begins[b], width) for b in sorted(known)], "block int, documents long, n_tokens long, start long, width int")
-    run = F.sum("n_tokens").over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = blocks.withColumn("before", F.coalesce(run, F.lit(0))).join(F.broadcast(head.select("block", F.col("start").alias("begin"))), "block")
-    placed = placed.select("block", "doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "digests", "sizes", "root")
-    placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = _block_roots(spark.read.parquet(f"{path}/recipes"))
-    head.join(roots, "block").coalesce(1).write.parquet(f"{path}/manifest")
+    for part, n in sorted((r["part"], r["n"]) for r in heads):
+        begins[part], at = at, at + n
+    begin = spark.createDataFrame(sorted(begins.items()), "part int, begin long")
+    inside = Window.partitionBy("part").orderBy(*order)
+    before = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumns({"before": before, "block": F.floor((F.row_number().over(inside) - 1) / BLOCK).cast("int")}).join(F.broadcast(begin), "part")
+    placed = placed.select("part", "block", "doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "digests", "sizes", "root")
+    placed.sortWithinPartitions("part", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    spent(dealt, out)
+    blocks = _blocks(spark.read.parquet(f"{path}/recipes"))
+    blocks.write.parquet(f"{path}/manifest")
+    tops = sorted(map(tuple, _parts(spark.read.parquet(f"{path}/manifest")).collect()))  # a row for each partition
+    whole = root([_leaf(*t) for t in tops])
+    spark.createDataFrame([(*t, width, whole) for t in tops], "part int, start long, blocks long, root binary, width int, store binary").coalesce(1).write.parquet(f"{path}/top")
+
 
+def _leaf(*values) -> bytes:
+    return repr(tuple(bytes(v) if isinstance(v, bytes | bytearray) else v for v in values)).encode()
 
-def _block_roots(recipes: DataFrame) -> DataFrame:
-    """The root of each block's documents, in their order."""
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """What the manifest says of each block: its documents in their order."""
 
     def run(key, rows):
         rows = rows.sort_by("start")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "root": pa.array([root(rows.column("root").to_pylist())], pa.binary())})
+        leaves = [_leaf(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)]
+        n, first = sum(rows.column("n_tokens").to_pylist()), rows.column("start")[0].as_py()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "documents": [len(leaves)], "n_tokens": [n], "start": [first], "root": pa.array([root(leaves)], pa.binary())})
+
+    kinds = "part int, block int, documents long, n_tokens long, start long, root binary"
+    return recipes.select("part", "block", "doc_id", "start", "n_tokens", "root").groupBy("part", "block").applyInArrow(run, kinds)
 
-    return recipes.select("block", "start", "root").groupBy("block").applyInArrow(run, "block int, root binary")
+
+def _parts(manifest: DataFrame) -> DataFrame:
+    """part, start, blocks and root of each part: its blocks in their order."""
+
+    def run(key, rows):
+        rows = rows.sort_by("block")
+        leaves = [_leaf(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("block", "documents", "n_tokens", "start", "root")), strict=True)]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "start": [rows.column("start")[0].as_py()], "blocks": [len(leaves)], "root": pa.array([root(leaves)], pa.binary())})
+
+    return manifest.groupBy("part").applyInArrow(run, "part int, start long, blocks long, root binary")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) of each document, checked on the way."""
-    recipes, chunks, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("recipes", "chunks", "manifest"))
-    bad = manifest.withColumnRenamed("root", "stated").join(_block_roots(recipes), "block", "full").where("not (root <=> stated)")
-    if not bad.isEmpty():
+    recipes, chunks, manifest, top = (spark.read.parquet(f"{path}/{x}") for x in ("recipes", "chunks", "manifest", "top"))
+    stated = top.collect()  # a row for each partition that wrote
+    width = stated[0]["width"] if stated else 2
+    tops = sorted((r["part"], r["start"], r["blocks"], bytes(r["root"])) for r in stated)
+    if any(bytes(r["store"]) != root([_leaf(*t) for t in tops]) for r in stated):
+        raise ValueError("the store's root does not match its parts")
+    if sorted((r["part"], r["start"], r["blocks"], bytes(r["root"])) for r in _parts(manifest).collect()) != tops:
+        raise ValueError("a part of the manifest does not match the store's")
+    key, rest = ["part", "block"], ["documents", "n_tokens", "start", "root"]
+    both = manifest.join(_blocks(recipes).select(*key, *[F.col(c).alias(f"own_{c}") for c in rest]), key, "full")
+    if not both.where(" or ".join(f"not ({c} <=> own_{c})" for c in rest)).isEmpty():
         raise ValueError("a block of recipes does not match the manifest")
-    heads = manifest.select("width").limit(1).collect()
-    width = heads[0]["width"] if heads else 2
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +246,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             if any(digest(x) != d for d, x in zip(stated, data, strict=True)):
                 raise ValueError("a chunk does not match its digest")
             crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], names=["digest", "crc"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array([len(x) // width for x in data], pa.int64())], names=["digest", "crc", "own"])
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("sizes").to_pylist()
-            for r, d in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), strict=True):
-                if root(d) != r:
+            for r, d, s in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), sizes, strict=True):
+                if recipe_root(d, s) != r:
                     raise ValueError("a recipe does not match its root")
             after = [(sum(s) - np.cumsum(s)).tolist() for s in sizes]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("digests"), pa.array(sizes, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int64()))], names=["doc_id", "start", "digests", "sizes", "after"])
@@ -236,8 +276,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lists = recipes.select("doc_id", "start", "digests", "sizes", "root").mapInArrow(tidy(rooted), f"doc_id {kind}, start long, digests array<binary>, sizes array<int>, after array<long>")
     each = lists.select("doc_id", "start", F.explode(F.arrays_zip("digests", "sizes", "after")).alias("x"))
     each = each.select("doc_id", "start", F.col("x.digests").alias("digest"), F.col("x.sizes").cast("long").alias("n"), F.col("x.after").alias("after"))
-    sums = chunks.select("digest", "ids").mapInArrow(tidy(checked), "digest binary, crc long")
-    found = each.join(sums, "digest", "left").select("doc_id", "start", "n", "after", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"))
+    sums = chunks.select("digest", "ids").mapInArrow(tidy(checked), "digest binary, crc long, own long")
+    crc = F.when(F.col("n").eqNullSafe(F.col("own")), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another size")).cast("long"))
+    found = each.join(sums, "digest", "left").select("doc_id", "start", F.col("own").alias("n"), "after", crc.alias("crc"))
     parts = found.mapInArrow(tidy(moved), f"doc_id {kind}, start long, n long, part long")
     return parts.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"))
 
@@ -245,7 +286,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def ids(spark: SparkSession, path: str) -> DataFrame:
     """The ids themselves: doc_id, start, ids array<int>, rebuilt from the chunks."""
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    heads = spark.read.parquet(f"{path}/manifest").select("width").limit(1).collect()
+    heads = spark.read.parquet(f"{path}/top").select("width").limit(1).collect()
     width = heads[0]["width"] if heads else 2
     each = recipes.select("doc_id", "start", F.posexplode("digests").alias("at", "digest")).join(chunks.select("digest", "ids"), "digest")
     rows = each.groupBy("doc_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("data"))

@@ -28,6 +28,24 @@ BREAK = np.ones(256, dtype=bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def plain(data: np.ndarray) -> np.ndarray:
+    """The bytes with a space in place of every byte of non-ASCII punctuation: of U+00A0 to U+00BF but for letters, of
+    U+2000 to U+206F and of U+3000 to U+303F."""
+    out = data.copy()
+    for lead, width in ((0xC2, 2), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(data[: len(data) - width + 1] == lead)
+        follow = data[at + 1]
+        if lead == 0xC2:
+            at = at[(follow >= 0xA0) & ~np.isin(follow, (0xAA, 0xB5, 0xBA))]
+        elif lead == 0xE2:
+            at = at[(follow == 0x80) | ((follow == 0x81) & (data[at + 2] <= 0xAF))]
+        else:
+            at = at[follow == 0x80]
+        for k in range(width):
+            out[at + k] = 32
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

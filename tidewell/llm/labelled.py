@@ -11,13 +11,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """At most ``rows`` labelled documents that are not held out, chosen by a hash of the id: doc_id, text, label.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_column: str = "doc_id", text_column: str = "text", unlabelled: int = 0) -> DataFrame:
+    """At most ``rows`` labelled documents that are not held out and, if asked for, at most ``unlabelled`` others without a
+    label (null), chosen by a hash of the id: doc_id, text, label. An id has one row: of repeated ids that with the least
+    text, and label 1 if any of its labels is.
 
-    The chosen ids, not more than ``rows``, go to every task.
+    The chosen ids, not more than both numbers, go to every task.
     """
-    key = F.col(id_column)
-    ids = labels.where(F.col(label).isin(0, 1) & key.isNotNull() & ~held_out(key)).groupBy(key.alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    key, first = F.col(id_column), (F.xxhash64("doc_id"), "doc_id")
+    known = labels.where(F.col(label).isin(0, 1) & key.isNotNull()).groupBy(key.alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     found = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return found.join(F.broadcast(ids), "doc_id")
+    ids = known.where(~held_out(F.col("doc_id"))).orderBy(*first).limit(rows)
+    if unlabelled:
+        others = found.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id", "left_anti").distinct()
+        ids = ids.union(others.select("doc_id", F.lit(None).cast("int")).orderBy(*first).limit(unlabelled))
+    return found.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

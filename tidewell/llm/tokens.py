@@ -19,7 +19,7 @@ import regex
 
 #: Bytes, as estimated from lengths, of each of the two generations of words and of pieces that a worker keeps; when the
 #: younger is full, the older goes. Longer words are encoded each time they are met.
-CACHE_BYTES, LONGEST = 40 << 20, 64
+CACHE_BYTES, LONGEST = 48 << 20, 64
 #: The tokenizer's own split pattern (fixed values: its JSON file holds the same).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Control characters that str.split() takes for white space and the tokenizer may not.
@@ -65,7 +65,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii():
             if word.isalpha():
-                return self._piece(word.lower())
+                return self.pieces[word.lower()]
             if word.isprintable():
                 return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
         # Below U+0250, but for the dotted capital I, nothing composes and lower case is letter by letter.

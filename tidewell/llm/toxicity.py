@@ -1,36 +1,50 @@
 """Toxicity by weak supervision.
 
-Voters look at a text and vote for a class or abstain: lexicon voters for single words, induced from the labelled
-sample, and pattern voters written by hand. A generative label model has a hidden class behind the votes. Expectation
-maximisation estimates how often each voter votes so under either class, started from the sample's labels; what the
+Voters look at a text and vote for the toxic class or abstain: lexicon voters for single words, pattern voters for
+beginnings of words, both induced from the labelled sample, and pattern voters written by hand; one more votes for the
+clean class where no induced voter fires. A generative label model has a hidden class behind the votes. Expectation
+maximisation over labelled and unlabelled documents estimates how often each voter votes so under either class; what
 voters share beyond the class is estimated as pairwise correlations, and a voter's evidence is divided by what it shares
-with others. The posterior labels of that model train a linear classifier on the votes, which scores every document.
+with others. Given labels set where it starts and are one more voter of bounded weight (``TRUST``), so voters that agree
+overrule a label. The posterior labels of that model train a linear classifier on the votes, which scores every document.
 
-Labels come from at most ``SAMPLE_ROWS`` documents that are not held out. A voter counts once however long the text, so
-one insult in a long document weighs as much as in a short one.
+Labels come from at most ``SAMPLE_ROWS`` documents that are not held out, beside at most ``OTHER_ROWS`` without a label.
+Every word or beginning that passes the test stands for itself or, where a shorter beginning of it is the better voter, is
+covered by that one. A voter counts once however long the text, so one insult in a long document weighs as much as in a
+short one. Learning and scoring split words alike: lower case in all scripts, at all that is no letter or digit.
 
-Defined cases: a null or empty text has no votes but those of absence; without labelled rows no voter is induced and
-every score is low; repeated rows are scored each; a null doc_id is kept and not held out; other columns are ignored.
+Defined cases: a null or empty text has no votes but that of absence; where the sample is too small for any word to pass
+the test, as it is without labelled rows, the hand-written patterns vote with the weight they start from; repeated rows
+are scored each; a null doc_id is kept and not held out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .labelled import held_out, sample
 from .quality import score
-from .shared import cut, ready, tidy
-
-#: The bound of the sample, the most lexicon voters, and the fewest toxic documents that a word must stand in.
-SAMPLE_ROWS, VOTERS, SUPPORT = 5000, 96, 5
+from .shared import cut, ready, slices, tidy
+
+#: The bounds of the sample, and the fewest toxic documents that a word or a beginning must stand in.
+SAMPLE_ROWS, OTHER_ROWS, SUPPORT = 5000, 5000, 5
+#: Characters of a lexicon's word, and those of a beginning (which ends in this mark).
+WORD, BEGINNING, MARK = (3, 24), (4, 7), "*"
+#: How often words of a beginning must stand in a text for it to vote, one voter for each number; the standard errors and
+#: the log odds of the test.
+TIMES, SURE, LOWEST = (1, 2, 4), 3.3, 1.5
+#: The most that a given label and that a voter counts, in log odds.
+TRUST, VOICE = 4.0, 6.0
 
 #: Hand-written pattern voters over lower-cased bytes, each with literals of which a text that it matches holds one.
 PATTERNS = (
@@ -45,86 +59,146 @@ PATTERNS = (
 _COMPILED = [(literals, re.compile(p)) for literals, p in PATTERNS]
 
 
-def _hash(word: bytes) -> int:
-    data = np.frombuffer(word, np.uint8)
-    return int(K.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of the texts and their ends; start, stop and text number of each word."""
+    data, ends = K.flat(pc.utf8_lower(texts.cast(pa.large_string())))
+    data = K.plain(data)
+    return data, ends, *K.words(data, ends, K.BREAK)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    return np.array([K.word_hashes(x, np.array([0]), np.array([len(x)]))[0] for x in data], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class Voters:
     lexicon: tuple[str, ...]
+    beginnings: tuple[str, ...] = ()
+
+    @property
+    def induced(self) -> int:
+        return len(self.lexicon) + len(self.beginnings)
+
+    def _hits(self, known: list[str], n: int, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """How often each of the known words stands in each of the n texts."""
+        own = _hashes(known)
+        order = np.argsort(own)
+        h = K.word_hashes(data, starts, stops)
+        at = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
+        hit = own[order][at] == h
+        return np.bincount(doc[hit] * len(own) + order[at[hit]], minlength=n * len(own)).reshape(n, len(own))
 
     def votes(self, texts: pa.Array) -> np.ndarray:
-        """0/1 of each text and voter: the lexicon's words, the patterns, and last the absence of any word of the lexicon."""
-        n, size = len(texts), len(self.lexicon)
-        out = np.zeros((n, size + len(_COMPILED) + 1), dtype=np.float32)
-        data, ends = K.flat(texts)
-        data = K.LOWER[data]
-        if size:
-            starts, stops, doc = K.words(data, ends, K.BREAK)
-            known = np.array([_hash(w.encode()) for w in self.lexicon], dtype=np.uint64)
-            order = np.argsort(known)
-            lengths = np.zeros(256, dtype=bool)
-            lengths[[min(255, len(w.encode())) for w in self.lexicon]] = True
-            like = lengths[np.minimum(stops - starts, 255)]
-            starts, stops, doc = starts[like], stops[like], doc[like]
-            h = K.word_hashes(data, starts, stops)
-            at = np.minimum(np.searchsorted(known[order], h), size - 1)
-            hit = known[order][at] == h
-            out[doc[hit], order[at[hit]]] = 1
+        """0/1 of each text and voter: words, beginnings, hand-written patterns, and last that no induced voter fires."""
+        out = np.zeros((len(texts), self.induced + len(_COMPILED) + 1), dtype=np.float32)
+        data, ends, starts, stops, doc = _split(texts)
+        lengths = np.zeros(256, dtype=bool)
+        lengths[[min(255, len(w.encode())) for w in self.lexicon]] = True
+        like = lengths[np.minimum(stops - starts, 255)]
+        if self.lexicon:
+            out[:, : len(self.lexicon)] = self._hits(list(self.lexicon), len(texts), data, starts[like], stops[like], doc[like]) > 0
+        words = [b.rstrip(MARK) for b in self.beginnings]
+        sizes = np.array([len(w.encode()) for w in words], dtype=np.int64)
+        times = np.array([len(b) - len(w) for b, w in zip(self.beginnings, words, strict=True)], dtype=np.int64)
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            known = sorted({words[i] for i in at})
+            like = stops - starts > n
+            found = self._hits(known, len(texts), data, starts[like], starts[like] + n, doc[like])
+            out[:, len(self.lexicon) + at] = found[:, [known.index(words[i]) for i in at]] >= times[at]
         whole = data.tobytes()
         for j, (literals, pattern) in enumerate(_COMPILED):
             for m in pattern.finditer(whole) if any(x in whole for x in literals) else ():
-                out[np.searchsorted(ends, m.start()), size + j] = 1
-        out[:, -1] = out[:, :size].sum(axis=1) == 0
+                out[np.searchsorted(ends, m.start()), self.induced + j] = 1
+        out[:, -1] = out[:, : self.induced].sum(axis=1) == 0
         return out
 
 
-def induce(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = VOTERS) -> Voters:
-    """Words much likelier in toxic documents, by the lower bound of their log odds. ``counts``: of each word, the toxic
-    and the clean documents that hold it."""
-    scored = []
+def terms(text: str | None) -> set[str]:
+    """Words of a text and beginnings of its words, with as many marks as they are there at least, from which voters are
+    induced."""
+    data, _, starts, stops, _ = _split(pa.array([text or ""]))
+    whole, found = data.tobytes(), Counter()
+    out: set[str] = set()
+    for w, n in Counter(whole[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)).items():
+        word = w.decode("utf-8", "replace")
+        if WORD[0] <= len(word) <= WORD[1]:
+            out.add(word)
+        for k in range(BEGINNING[0], min(BEGINNING[1], len(word) - 1) + 1):
+            found[word[:k]] += n
+    out.update(w + MARK * t for w, n in found.items() for t in TIMES if n >= t)
+    return out
+
+
+def induce(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Voters:
+    """Words and beginnings much likelier in toxic documents, by a lower bound of the log odds of a document that holds them
+    less those of any. ``counts``: of each, the toxic and the clean documents that hold it. One that a better beginning covers gives way to it."""
+    passed = {}
     for w, a, b in counts:
-        parts = (a + 0.5, toxic - a + 0.5, b + 0.5, clean - b + 0.5)
-        odds = np.log(parts[0] / parts[1]) - np.log(parts[2] / parts[3])
-        low = odds - 2.6 * np.sqrt(sum(1 / x for x in parts))
-        if low > 1.0:
-            scored.append((low, w))
-    return Voters(tuple(w for _, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]))
+        n, share = a + b, a / (a + b)
+        middle, half = share + SURE**2 / 2 / n, SURE * np.sqrt(share * (1 - share) / n + SURE**2 / 4 / n**2)
+        least = (middle - half) / (1 + SURE**2 / n)  # Wilson's bound of the share that is toxic
+        low = np.log(least / (1 - least)) - np.log((toxic + 0.5) / (clean + 0.5)) if 0 < least < 1 else -np.inf
+        if low > LOWEST:
+            passed[w] = (low, len(w))
+    best = set()
+    for w in passed:
+        word = w.rstrip(MARK)
+        cover = (word[:k] + MARK * t for k in range(BEGINNING[0], len(word) + (word != w)) for t in TIMES)
+        best.add(max([w, *(x for x in cover if x in passed)], key=lambda x: (passed[x], x)))
+    same = lambda w, x: x != w and x.startswith(w.rstrip(MARK)) and passed[x][0] >= passed[w][0]
+    best -= {w for w in best if w.endswith(MARK) and any(same(w, x) for x in best)}
+    words = (sorted(w for w in best if w.endswith(MARK) == ends) for ends in (False, True))
+    return Voters(*map(tuple, words))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of the toxic class of each row of votes, by expectation maximisation with correlation discounts.
+@dataclass(frozen=True)
+class Posterior:
+    toxic: np.ndarray  # of each row
+    gain: np.ndarray  # each voter's evidence, in log odds
+    prior: float
 
-    The given label is one more voter, wrong at a rate of its own. Every voter's rates under either class, the classes'
-    shares and the correlations between voters within a class are estimated anew in each round. The last column, the
-    absence of all lexicon words, follows from the others and takes no part in the correlations.
+
+def label_model(votes: np.ndarray, labels: np.ndarray, induced: int, rounds: int = 40) -> Posterior:
+    """Fit the hidden class behind the votes by expectation maximisation with correlation discounts.
+
+    ``labels``: 0, 1 or nan. A voter's rates start from two in a hundred toxic and two in a thousand clean documents, with
+    the weight of two documents. No toxic voter counts for the clean class, nor the voter of absence, last, for the
+    toxic one; it follows from the others and takes no part in the correlations.
     """
     v = votes.astype(np.float64)
-    gold = np.stack([1 - labels, labels], axis=1)
-    p = 0.05 + 0.9 * labels
-    for _ in range(rounds):
-        weight = np.stack([1 - p, p])
-        mass = weight.sum(axis=1, keepdims=True)
-        rate = (weight @ v + 0.1) / (mass + 0.2)  # of each class and voter
-        truth = (weight @ gold + 0.5) / (mass + 1)
-        share = float(np.clip(p.mean(), 0.01, 0.99))
+    known = ~np.isnan(labels)
+    start = np.tile([[0.002], [0.02]], v.shape[1])
+    start[:, -1] = [0.95, 0.5]
+    start[:, -1] = start[:, -1] if induced else 0.5
+    share = float(np.clip(labels[known].mean(), 0.01, 0.99)) if known.any() else 0.05
+    p = np.where(known, 0.05 + 0.9 * np.nan_to_num(labels), share)
+    weight = np.where(known, 1.0, 0.0)  # the first round's rates are those of the labelled rows
+    gain, prior = np.log(start[1] / start[0]), np.log(share / (1 - share))
+    for turn in range(rounds):
+        mass = np.stack([weight * (1 - p), weight * p])
+        total = mass.sum(axis=1, keepdims=True)
+        rate = (mass @ v + 2 * start) / (total + 2)  # of each class and voter
+        share = float((mass[1].sum() + 0.05) / (mass.sum() + 1))
         shared = np.zeros((v.shape[1], v.shape[1]))
         for c in (0, 1):
-            off = (v - rate[c]) * np.sqrt(weight[c])[:, None]
-            cov = off.T @ off / max(1e-9, float(mass[c, 0]))
+            off = (v - rate[c]) * np.sqrt(mass[c])[:, None]
+            cov = off.T @ off / max(1e-9, float(total[c, 0]))
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-4))
-            shared += float(mass[c, 0]) / len(v) * np.maximum(0, cov / np.outer(sd, sd))
+            shared += float(total[c, 0]) / max(1e-9, float(total.sum())) * np.maximum(0, cov / np.outer(sd, sd))
         np.fill_diagonal(shared, 0)
         shared[-1] = shared[:, -1] = 0
-        discount = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        gain = np.log(rate[1] / rate[0]) * discount  # of a vote; a voter that finds nothing abstains
-        z = np.log(share / (1 - share)) + v @ gain + gold @ np.log(truth[1] / truth[0])
-        fresh = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(fresh - p).max() < 1e-4:
-            return fresh
-        p = fresh
-    return p
+        gain = np.log(rate[1] / rate[0]) / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
+        gain[:-1], gain[-1] = np.clip(gain[:-1], 0, VOICE), np.clip(gain[-1], -VOICE, 0)
+        truth = [float((weight * known * np.where(labels == c, [1 - p, p][c], 0)).sum() + 1) / float((weight * known * [1 - p, p][c]).sum() + 2) for c in (0, 1)]
+        say = np.where(labels == 1, np.log(truth[1] / (1 - truth[0])), np.where(labels == 0, np.log((1 - truth[1]) / truth[0]), 0.0))
+        prior = np.log(share / (1 - share))
+        fresh = 1 / (1 + np.exp(-np.clip(prior + v @ gain + np.clip(say, -TRUST, TRUST), -30, 30)))
+        if turn and np.abs(fresh - p).max(initial=0) < 1e-4:
+            break
+        p, weight = fresh, np.ones(len(v))
+    return Posterior(p, gain, float(prior))
 
 
 @dataclass(frozen=True)
@@ -137,49 +211,54 @@ class Model:
         return self.voters.votes(texts) @ self.weights + self.bias
 
 
-def linear(votes: np.ndarray, labels: np.ndarray, ridge: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, by Newton's method."""
+def linear(votes: np.ndarray, labels: np.ndarray, start: np.ndarray, bias: float, ridge: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels by Newton's method, drawn towards the weights it starts from."""
     x = np.hstack([votes, np.ones((len(votes), 1))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+    w = first = np.append(start, bias).astype(np.float64)
+    for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - labels) / len(x) + ridge * w
+        grad = x.T @ (p - labels) / len(x) + ridge * (w - first)
         curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(x) + ridge * np.eye(len(w))
         move = np.linalg.solve(curve, grad)
-        w -= move
+        w = w - move
         if np.abs(move).max() < 1e-6:
             break
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, support: int = SUPPORT, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, others: int = OTHER_ROWS, support: int = SUPPORT, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Induce voters, fit the label model, and train the classifier on its posteriors."""
-    chosen = cut(sample(docs, labels, label, rows, id_column, text_column), "sample")
+    ready(docs.sparkSession)
+    chosen = cut(sample(docs, labels, label, rows, id_column, text_column, others), "sample")
+    told = chosen.where("label is not null").groupBy("text").agg(F.max("label").alias("label"))  # copies tell a word once
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(r"[^\W_]{3,24}")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
-            found = [sorted(set(word.findall((t or "").lower()))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.string()))], names=["label", "words"])
-
-    n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held[y].update(terms(text))
+        words = sorted(held[0].keys() | held[1].keys())
+        for at in range(0, len(words), 1 << 16):
+            some = words[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([held[c][w] for w in some], pa.int64()) for c in (1, 0))], names=["w", "a", "b"])
+
+    n = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    each = chosen.select("label", "text").mapInArrow(tidy(bags), "label int, words array<string>").select("label", F.explode("words").alias("w"))
-    counts = each.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    counts = told.select("label", "text").mapInArrow(tidy(count), "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     likely = counts.where((F.col("a") >= support) & (F.col("a") * clean > F.col("b") * 2 * toxic))  # of the bounded sample
     voters = induce([tuple(r) for r in likely.collect()], toxic, clean)
-    if not voters.lexicon:
-        return Model(voters, np.zeros(len(PATTERNS) + 1, np.float32), -3.0)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = voters.votes(batch.column("text")).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "votes"])
-
-    table = chosen.select("label", "text").mapInArrow(tidy(vote), "label int, votes binary").toArrow()
-    votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.int8).reshape(table.num_rows, -1).astype(np.float32)
-    truth = table.column("label").to_numpy().astype(np.float64)
-    weights, bias = linear(votes, label_model(votes, truth))
+            for part in slices(batch, "text"):
+                found = voters.votes(part.column("text")).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "votes"])
+
+    table = chosen.select("doc_id", "label", "text").mapInArrow(tidy(vote), "doc_id string, label int, votes binary").toArrow().sort_by("doc_id")
+    votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.int8).reshape(table.num_rows, -1 if table.num_rows else voters.induced + len(PATTERNS) + 1)
+    truth = table.column("label").cast(pa.float64()).to_numpy()
+    found = label_model(votes, truth, voters.induced)
+    weights, bias = linear(votes, found.toxic, found.gain, found.prior)
     return Model(voters, weights, bias)
 
 

@@ -1,8 +1,10 @@
 """WARC archives: records written by Spark's own writer, and a splittable reader.
 
-Every record is a gzip member of its own. The writer hands the members to Spark's text writer with a zero byte as the
-line end, which gzip readers skip as padding; so any file system that Spark knows will do, and its commit protocol
-covers lost executors. The files are then named ``*.warc.gz``.
+Every record is a gzip member of its own, and one follows the other at once, so any gzip tool reads the files. The writer
+hands the members to Spark's text writer, whose line end is a zero byte, each without its own last byte: that is the high
+byte of the member's length and zero below 16 MB; a longer record is followed by an empty member, which ends so. Thus any
+file system that Spark knows will do, and its commit protocol covers lost executors. The files are then named
+``*.warc.gz``.
 
 The reader deals byte ranges to tasks. A task looks for gzip magic in its range, takes a candidate for a member only if
 it decodes to a WARC header that states its length, and reads every record that starts inside its range, past its end
@@ -37,6 +39,8 @@ from .shared import cut, ready, scratch, tidy
 #: Format constants (fixed values).
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member of nothing (fixed value but for the machine's mark).
+EMPTY = zlib.compress(b"", wbits=31)
 #: The date of records whose pages have none.
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a range, and of one read.
@@ -69,6 +73,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
+def line(member: bytes) -> bytes:
+    """A member for the text writer: what comes before the zero byte that it adds."""
+    return member[:-1] if member[-1] == 0 else member + EMPTY[:-1]
+
+
 def write(pages: DataFrame, path: str, least: int = 0, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> None:
     """Write archives of a table of pages to a folder."""
     spark = pages.sparkSession
@@ -86,7 +95,7 @@ def write(pages: DataFrame, path: str, least: int = 0, id_column: str = "page_id
             out = []
             for page_id, url, html, first, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 refers = first if first is not None and first != page_id else None
-                out.append(record(page_id, url, html.encode(), refers, target))
+                out.append(line(record(page_id, url, html.encode(), refers, target)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     joined.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)

@@ -11,8 +11,9 @@ Words are lower-cased (A-Z) runs of anything but white space; a document's set h
 3. Candidates pass the length filter and the positional filter, then the suffix filter, over signatures of 256 bytes and
    again over the sets themselves, and are verified once per pair by exact intersection.
 4. Classes already known to be connected need not be compared: in each round, of every shingle's classes one of each
-   component meets a leader, and components merge, until what is left to compare across components is in proportion
-   to the shingles' rows or a round has not halved it. Then all of it is compared, in bands of sizes that can link. So a
+   component meets a member of the component with most of them (the one with most of its prefix shared, then others by
+   a hash of the round), and components merge, until what is left to compare across components is in proportion
+   to the shingles' rows or a round has hardly lessened it. Then all of it is compared, in bands of sizes that can link. So a
    group of thousands of near copies costs a few pairs a member, and no link between components is missed.
 
 The fine sketch has 4-bit counters, as many as there may be words up to ``FINE`` (64 MB), the coarse one 2^20 counters for
@@ -51,8 +52,11 @@ FINE, LEAST_FINE, COARSE, STRIPE = 1 << 27, 1 << 16, 1 << 20, 1 << 15
 MAX_SENT = 500_000
 #: Digests of sets that a task remembers as sent.
 REMEMBERED = 200_000
-#: Pairs left to compare across components, for each row of shared shingles, at which all are compared; the most rounds.
-DENSE, ROUNDS = 2, 8
+#: Pairs left to compare across components, for each row of shared shingles, at which all are compared; the share of them
+#: that a round must leave at most, or all are compared after it; the most rounds.
+DENSE, LESS, ROUNDS = 2, 0.9, 16
+#: Leaders that a set meets in a round.
+LEADERS = 3
 #: Partners of a set that one task compares it with.
 PARTNERS = 200
 
@@ -410,31 +414,35 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     found = shared.withColumn("n", F.shiftright("size", 32)).join(named.drop("lo"), ["hi", "n"]).where("id is not null")
     rows = cut(found.select("token", "id", "size", "prev"), "rows")
     spent(shared)
-    ids = cut(rows.select("id").distinct(), "ids")
+    ids = cut(rows.groupBy("id").agg(F.count("*").alias("shared")), "ids")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    few = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
+    few = F.broadcast(ids.select("id")) if ids.count() <= MAX_SENT else ids
     signatures = cut(each.join(few, each["doc_id"] == few["id"], "left_semi").where("n > 0").select(F.col("doc_id").alias("id"), "n", "signature"), "signatures")
 
-    labels = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    labels = ids.select(F.col("id").alias("node"), F.col("id").alias("label"), "shared")
     tested, before = [], None
     for turn in range(ROUNDS):
-        pick = F.min if turn % 2 == 0 else F.max
-        now = rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "size", "prev", "label") if turn else rows.withColumn("label", F.col("id"))
-        one = cut(now.groupBy("token", "label").agg(pick("id").alias("id"), F.count("*").alias("k")), "one") if turn else now.select("token", "label", "id", F.lit(1).cast("long").alias("k"))
-        per = one.groupBy("token").agg(pick("id").alias("lead"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts"))
+        # first the sets with most of their prefix shared, then others of the same component
+        weight = F.col("shared") / F.shiftright("size", 32) if turn == 0 else F.xxhash64("id", F.lit(turn)).cast("double")
+        now = rows.join(labels, rows["id"] == labels["node"]).select("token", "id", "size", "prev", "label", weight.alias("weight"))
+        one = cut(now.groupBy("token", "label").agg(F.max(F.struct("weight", "id")).alias("best"), F.count("*").alias("k")), "one")
+        lead = F.max(F.struct("k", "best"))["best"]["id"]
+        per = one.groupBy("token").agg(lead.alias("lead"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts"))
         open_ = cut(per.where("parts > 1"), "open")
         work, held = open_.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).collect()[0]
         if not held:
             spent(one, open_)
             break
-        last = work <= DENSE * held or turn == ROUNDS - 1 or (before is not None and work > before / 2)
+        last = work <= DENSE * held or turn == ROUNDS - 1 or (before is not None and work > LESS * before)
         before = work
         if last:
             pairs = _compared(now.join(open_.select("token"), "token", "left_semi"))
         else:
-            met = one.join(open_.select("token", "lead"), "token").where("id != lead")
-            best = met.groupBy("id", "lead").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "lead")).alias("x"))
-            pairs = best.select(F.col("x.lead").alias("a"), F.col("id").alias("b"))  # each meets the leader it shares most with
+            met = one.select("token", F.col("best.id").alias("id")).join(open_.select("token", "lead"), "token").where("id != lead")
+            shared_most = F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), False), 1, LEADERS)  # of a set's prefix at most
+            best = met.groupBy("id", "lead").agg(F.count("*").alias("n")).groupBy("id").agg(shared_most.alias("x"))
+            best = best.select("id", F.explode("x.lead").alias("lead"))
+            pairs = best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         pairs = pairs.distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -446,17 +454,17 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         good = cut(_verified(pairs, signatures, texts).distinct(), "good")
         tested.append(pairs)
         if not good.isEmpty():
-            of = labels.toDF("node", "label")
+            of = labels.select("node", "label")
             merged = good.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
             moved = components(merged).toDF("label", "to")
-            old, labels = labels, cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            old, labels = labels, cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"), "shared"), "labels")
             spent(old)
         spent(good)
         if last:
             break
     spent(rows, ids, signatures, *tested)
     # labels of classes on their own say nothing
-    return members, labels.where("node != label")
+    return members, labels.where("node != label").select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -66,5 +66,8 @@ class Store:
             out = df.write.partitionBy("period_key") if name == "entries" else df.write
             out.parquet(f"{stage}/{name}")
         number = int(at.rpartition("/v")[2]) + 1 if at else 1
-        if not self._fs.rename(self._at(stage), self._at(f"{self.path}/v{number:012d}")):
-            raise OSError("the snapshot was not committed")
+        to = self._at(f"{self.path}/v{number:012d}")
+        # where a rename onto a folder moves into it, another writer's snapshot must not be taken for this one
+        if self._fs.exists(to) or not self._fs.rename(self._at(stage), to) or self._fs.exists(self._at(to, stage.rpartition("/")[2])):
+            self._fs.delete(self._at(stage), True)
+            raise OSError("the snapshot was not committed: another writer was first")

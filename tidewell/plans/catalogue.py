@@ -37,11 +37,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("message_id"), T.source_url("market", F.col("o_orderkey")).alias("source_url"), F.col("o_orderpriority").alias("source_text"))
 
 
-def entries(spark: SparkSession, sf_dir: str, category: str = "o_orderpriority") -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, category: str = "o_orderpriority", period: str | None = None) -> DataFrame:
+    """Entries of all months or of one, whose range of dates then reaches the scan."""
     o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
-    if category == "n_name":
-        rows = rows.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = (o.where(in_month(F.col("o_orderdate"), period)) if period else o).join(c, o["o_custkey"] == c["c_custkey"])
     none = F.lit(None).cast("string")
     return rows.select(F.col("o_orderkey").alias("message_pk"), F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), (F.col("o_orderstatus") == "F").cast("int").alias("eligible"), F.col(category).alias("category_title"), none.alias("category_emoji"), F.col("c_name").alias("short_title"), none.alias("manual_title"), none.alias("manual_category"), none.alias("excluded_reason"))
 
@@ -181,9 +180,57 @@ def digest_blocks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PARTS} WHERE period_key = '1998-07'")
 def digest_parts(spark, sf_dir):
-    return R.digest(entries(spark, sf_dir).where("period_key = '1998-07'"), messages(spark, sf_dir))
+    return R.digest(entries(spark, sf_dir, period=MONTH), messages(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {PARTS}")
 def digest_all_periods(spark, sf_dir):
     return R.digest(entries(spark, sf_dir), messages(spark, sf_dir))
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of a chat export: other types, ids that are strings, dates that are none, senders and texts of all kinds."""
+    key = F.col("o_orderkey")
+    odd = lambda n, r: key % n == r
+    item = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "service").otherwise("message").alias("type"),
+        F.when(odd(11, 3), F.to_json(F.struct(key.cast("string").alias("id")))).otherwise(F.to_json(F.struct(key.alias("id")))).alias("ids"),
+        F.when(odd(7, 1), "no date").when(odd(13, 2), F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("date"),
+        F.when(odd(5, 0), F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("from"),
+        F.when(odd(17, 4), F.array(F.lit("  "), F.lit("\n"))).otherwise(F.array(F.lit(" "), F.col("o_orderpriority"), F.lit(" +"), F.col("o_orderstatus"), F.lit("\t"))).alias("text"),
+    )
+    rows = read(spark, sf_dir, "orders").select(key.alias("pos"), item.alias("m"))
+    # the id's own JSON type is kept, so it joins the other members as text
+    joined = F.concat(F.expr("substring(m.ids, 1, length(m.ids) - 1)"), F.lit(","), F.expr("substring(to_json(struct(m.type, m.date, m.`from`, m.text)), 2)"))
+    return rows.select("pos", F.parse_json(joined).alias("m"))
+
+
+@query("""
+SELECT o_orderkey AS message_id, 'c1' AS chat_id, CASE WHEN o_orderkey % 13 = 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS published_at,
+       CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS sender_name, o_orderpriority || ' +' || o_orderstatus AS source_text, 'https://t.me/market/' || o_orderkey AS source_url
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 11 <> 3 AND o_orderkey % 7 <> 1 AND o_orderkey % 17 <> 4
+ AND o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01'""")
+def qualifying_messages(spark, sf_dir):
+    from ..sources import export
+
+    return export.qualifying(_exported(spark, sf_dir), MONTH, "c1", "market").select("message_id", "chat_id", "published_at", "sender_name", "source_text", "source_url")
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS id, (n_nationkey % 5 IN (0, 4))::INT AS eligible, 'c' || n_regionkey AS category,
+       CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'high' END AS confidence,
+       CASE WHEN n_regionkey = 4 THEN 'Другое' WHEN n_regionkey = 3 THEN NULL ELSE 'Title ' || n_regionkey END AS category_title
+FROM nation""")
+def decoded_reply(spark, sf_dir):
+    """A reply in a fence over the 25 nations: the last entry of an id and the last category of a code count."""
+    import json
+
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 by the schema
+    include = (True, 0, "", [], "no")
+    entry = lambda r, title: {"id": r[0], "include": include[r[0] % 5], "category": f"c{r[2]}", "title": title, "confidence": "high" if r[0] % 2 == 0 else None}
+    reply = {
+        "categories": [{"code": "c0", "title": "first"}, *({"code": f"c{k}", "title": None if k == 3 else f"Title {k}", "emoji": "x"} for k in range(4))],
+        "entries": [*(entry(r, r[1]) for r in rows), *(entry(r, r[1].lower()) for r in rows if r[0] < 5)],
+    }
+    cats, found = C.decoded(spark, C.reply_object(f"so: ```json\n{json.dumps(reply, ensure_ascii=False)}\n``` done"))
+    return C.with_category(found, cats).select("id", "eligible", "category", "title", "confidence", "category_title")

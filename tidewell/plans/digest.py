@@ -16,11 +16,14 @@ from ..operators import render as R
 from ..operators.store import Store, absent, first_by, numbered
 from ..sources import export
 
-INSTRUCTIONS = """Ты редактор ежемесячного дайджеста объявлений городской группы{place}.
-Верни ТОЛЬКО JSON: {{"categories":[{{"code":"...","title":"...","emoji":"..."}}],"entries":[{{"id":1,"include":true,"category":"...","title":"...","confidence":"high|low"}}]}}.
-Категории широкие и только нужные; одна строка данных — одно объявление, до 34 символов, без цены, контактов, ссылок и повтора категории.
-Ответы, обсуждения и служебные сообщения исключи.
-Данные:
+#: The keys of the reply are fixed values, as the reply's reader expects them.
+INSTRUCTIONS = """Ниже строки с объявлениями участников группы{place} за месяц; подготовь их для обзора.
+Решай по каждой строке отдельно: объявление включай, а реплики, споры и служебные записи отмечай include=false.
+Заголовок короткий, не длиннее 34 знаков; в нём нет сумм, телефонов, имён пользователей, адресов сайтов и слов из названия рубрики.
+Рубрик бери мало, каждая должна подходить нескольким объявлениям.
+Ответ состоит из одного объекта JSON такого вида:
+{{"categories":[{{"code":"...","title":"...","emoji":"..."}}],"entries":[{{"id":1,"include":true,"category":"...","title":"...","confidence":"high|low"}}]}}
+Строки:
 """
 
 

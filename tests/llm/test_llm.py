@@ -124,6 +124,10 @@ def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "W5 w6, w7 w8 w9 w10"), (2, "one two"), (3, None), (4, ""), (5, "p q r s t u")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()}
     assert got == {(7, 1), (8, 1), (5, 2), (6, 2)}
+    more = docs.union(spark.createDataFrame([(None, "x p q r s t u", "y", 2.0), (None, None, "y", 2.0)], docs.schema)).withColumn("item_id", F.lit(3))
+    got = decontamination.contained(more, items).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 5), (5, 2), (6, 2), (7, 1), (8, 1)]
+    assert decontamination.contained(docs.limit(0), items).count() == decontamination.contained(docs, items.limit(0)).count() == 0
 
 
 def test_chat(spark):

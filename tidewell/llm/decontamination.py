@@ -6,12 +6,13 @@ shingle hashes, as many as a class's largest item may miss and one more; so what
 holds enough of the item holds one of its sketch, and the search misses nothing. Documents' shingle hashes meet the
 sketches in a join; the pairs that come of it are verified by the exact shingles.
 
-Sketches, and later the pairs, go to every task only if their number is at most ``MAX_SENT``; beyond that both sides are
+Sketches, and later the pairs and the items, go to every task only if their number, of items that of all their shingles,
+is at most ``MAX_SENT``; beyond that both sides are
 shuffled. The shuffled side then is what explodes, and AQE splits a passage that many documents share.
 
 Words are lower-cased runs of letters and digits. Defined cases: an item of fewer than five words has its whole sequence
 as its one shingle, and documents are searched for that many words in a row; a null, empty or wordless item or document
-takes no part; rows repeating a doc_id or item_id count as one if equal, else each gives its row; other columns are ignored.
+takes no part; a null doc_id is kept, a null item_id takes no part; rows repeating a doc_id or item_id count as one if equal, else each gives its row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 WORDS, PERCENT = 5, 75
-#: Rows of sketches or pairs that may be sent to every task.
+#: Rows of sketches or pairs, and shingles of all items, that may be sent to every task.
 MAX_SENT = 500_000
 
 
@@ -76,7 +77,7 @@ def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text
     """doc_id, item_id, n_shingles, n_found, containment of every item found in a document."""
     found, sketch, sizes = sketches(items, item_id, item_text)
     found, sketch = cut(found, "found"), cut(sketch, "sketches")
-    small = lambda df: F.broadcast(df) if df.count() <= MAX_SENT else df
+    small = lambda df, size="1": F.broadcast(df) if (df.agg(F.sum(F.expr(size))).collect()[0][0] or 0) <= MAX_SENT else df
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     split = base.select("doc_id", words(F.col("text")).alias("w"))
     if sizes == [WORDS]:
@@ -86,7 +87,8 @@ def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text
     else:
         exploded = split.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).alias("k")).limit(0)
     pairs = cut(exploded.join(small(sketch), ["k", "h"]).select("doc_id", "item_id").distinct(), "pairs")
-    known = split.join(small(pairs), "doc_id").join(small(found), "item_id")
+    named = small(pairs.withColumnRenamed("doc_id", "found_in"))
+    known = split.join(named, F.col("doc_id").eqNullSafe(F.col("found_in"))).join(small(found, "n"), "item_id")
     matched = F.size(F.array_intersect("shingles", F.coalesce(_chosen("w", sizes, _texts).cast("array<string>"), F.array())))
     out = known.select("doc_id", "item_id", F.col("n").alias("n_shingles"), matched.alias("n_found"))
     return out.where(F.col("n_found") * 100 >= F.col("n_shingles") * PERCENT).withColumn("containment", F.col("n_found") / F.col("n_shingles")).distinct()

@@ -17,11 +17,13 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Bytes, as estimated from lengths, of each of the two generations of words and of pieces that a worker keeps; when the
+#: Bytes, as estimated from lengths, of each of the two generations of words and pieces that a worker keeps; when the
 #: younger is full, the older goes. Longer words are encoded each time they are met.
-CACHE_BYTES, LONGEST = 48 << 20, 64
+CACHE_BYTES, LONGEST = 96 << 20, 64
 #: The tokenizer's own split pattern (fixed values: its JSON file holds the same).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that often end a word: a run of them behind letters is one piece.
+MARKS = ".,;:!?)]}\"'"
 #: Control characters that str.split() takes for white space and the tokenizer may not.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 
@@ -52,8 +54,7 @@ class WordEncoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.split = regex.compile(PIECES).findall
-        self.words = _Known(self._word)
-        self.pieces = _Known(self._piece)
+        self.known = _Known(self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -63,15 +64,16 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():
-                return self.pieces[word.lower()]
-            if word.isprintable():
-                return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
         # Below U+0250, but for the dotted capital I, nothing composes and lower case is letter by letter.
-        elif max(word) < "ɐ" and "İ" not in word and word.isprintable():
-            return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
-        return self._whole(word)
+        if not word.isprintable() or not (word.isascii() or max(word) < "ɐ" and "İ" not in word):
+            return self._whole(word)
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(low) if low == word else self.known[low]
+        core = low.rstrip(MARKS)
+        pieces = [core, low[len(core) :]] if core != low and core.isalpha() else self.split(low)
+        # A piece is a word of one piece, so words and pieces share one cache.
+        return self._piece(low) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text; a null text has none."""
@@ -79,7 +81,7 @@ class WordEncoder:
             return b""
         if ODD_SPACE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 class _Known(dict):

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions.period import canonical, month_bounds
+from tidewell.operators import edition as E
 from tidewell.operators.classify import reply_object
 from tidewell.operators.store import Store, numbered_whole
 from tidewell.plans import catalogue, digest
 from tidewell.sources.settings import dotenv
+from tidewell.streaming import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +86,55 @@ def test_numbered_whole(spark):
     assert numbered_whole(spark.createDataFrame([], "k long"), 10, "k").count() == 0
 
 
+def test_publish_rest(spark, tmp_path):
+    store, sent = Store(spark, str(tmp_path / "store")), []
+
+    def send(token, target, html):
+        if html == "b" and len(sent) == 1:
+            sent.append("failed")
+            raise OSError("down")
+        sent.append(html)
+        return {"result": {"message_id": len(sent)}}
+
+    with pytest.raises(OSError):
+        digest.publish_rest(store, "2026-9", ["a", "b", "c"], send, "t", "here")
+    assert digest.publish_rest(store, "2026-09", ["a", "b", "c"], send, "t", "here") == 2
+    assert digest.publish_rest(store, "2026-09", ["a", "b", "c"], send, "t", "here") == 0
+    assert sent == ["a", "failed", "b", "c"]
+    assert digest.publish_rest(store, "2026-09", ["a"], send, "t", "there") == 1
+    log = store.read("publications").where("destination = 'here'").orderBy("part_no").collect()
+    assert [(r["period_key"], r["part_no"], r["telegram_message_id"], r["rendered_html"]) for r in log] == [("2026-09", 1, 1, "a"), ("2026-09", 2, 3, "b"), ("2026-09", 3, 4, "c")]
+    with pytest.raises(SystemExit):
+        digest.publish_rest(store, "2026-09", ["a"], send, "", "here")
+
+
+def test_live(spark, tmp_path):
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    folder.mkdir()
+    message = lambda n, **more: {"message_id": n, "chat": {"id": 1}, "date": 100, **more}
+    first = [{"update_id": 1, "message": message(1, text=" sofa\n for  sale ")}, {"update_id": 2, "message": message(2)}, {"update_id": 3}]
+    second = [{"update_id": 1, "message": message(1, text=" sofa\n for  sale ")}, {"update_id": 4, "edited_message": message(2, edit_date=50, caption="c")}, {"update_id": 5, "edited_message": message(1, edit_date=200, text="sold")}]
+    for name, rows in (("a", first), ("b", second)):
+        (folder / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+        for _ in range(2):
+            live.capture(spark, str(folder), log, str(tmp_path / "at"), until_empty=True).awaitTermination()
+    got = spark.read.parquet(log)
+    assert got.count() == 5
+    rows = live.latest(got).orderBy("message_id").collect()
+    assert [(r["message_id"], r["words"], r["status"], r["edits"]) for r in rows] == [(1, "sold", "ready", 1), (2, None, "needs_review", 1)]
+
+
+def test_edition(spark):
+    assert [one(spark, E.shortened(F.lit(x), 5)) for x in ("ab cd", "ab cde", "abcdef", "abcde f")] == ["ab cd", "ab", "abcde", "abcde"]
+    assert one(spark, E.worded(F.lit(" \u3000"), F.lit("a\u00a0 b"))) == "a b"
+    rows = spark.createDataFrame([("c", x) for x in (1, 2, 2, 5, 9, None)], "chat_id string, message_id long")
+    for width in (1, 3, 100):
+        assert sorted(tuple(r) for r in E.gaps(rows, width).collect()) == [("c", 3, 4), ("c", 6, 8)]
+    twice = spark.createDataFrame([(None, "a"), (None, "a"), ("x", "a")], "k string, t string")
+    assert sorted(r["duplicate"] for r in E.duplicate_titles(twice, ["k", "t"]).collect()) == [False, True, True]
+    assert E.albums(spark.createDataFrame([], "chat_id long, message_id long, media_group_id string, source_text string")).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_oracle(spark, name):
     con = duckdb.connect()

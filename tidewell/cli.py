@@ -33,8 +33,10 @@ def main(args: list[str] | None = None) -> None:
         parts = digest.render(store, a.period, s.brand)
         if a.command == "preview" and not a.send:
             print("\n\n--- PART ---\n".join(parts))
+        elif a.command == "preview":
+            digest.publish(parts, remote.send, s.bot_token, s.admin_chat_id)
         else:
-            digest.publish(parts, remote.send, s.bot_token, s.admin_chat_id if a.command == "preview" else s.source_chat_id)
+            digest.publish_rest(store, a.period, parts, remote.send, s.bot_token, s.source_chat_id)
 
 
 if __name__ == "__main__":

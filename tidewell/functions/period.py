@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,3 +22,9 @@ def in_month(column: Column, period: str) -> Column:
     """A range on the bare column, so that it reaches the file scan."""
     start, end = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in month_bounds(period))
     return (column >= start) & (column < end)
+
+
+def in_zoned_month(column: Column, period: str, zone: str = "Europe/Madrid") -> Column:
+    """The month of a time zone, as a range on a column of naive UTC instants; the bounds are converted, not the column."""
+    start, end = (x.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ") for x in month_bounds(period))
+    return (column >= F.lit(start).cast("timestamp_ntz")) & (column < F.lit(end).cast("timestamp_ntz"))

@@ -52,13 +52,13 @@ def block(emoji: Column, title: Column, lines: Column) -> Column:
     return F.concat(emoji, F.lit(" <b>"), escape(title), F.lit("</b>\n"), F.array_join(lines, "\n"))
 
 
-def packed(blocks: Column, limit: int = LIMIT) -> Column:
-    """Ordered blocks into bodies: a block joins the last body unless that would pass the limit."""
+def packed(blocks: Column, limit: Column | int = LIMIT, gap: str = "\n\n") -> Column:
+    """Ordered blocks into bodies, with a gap between them: a block joins the last body unless that would pass the limit."""
     def add(acc: Column, b: Column) -> Column:
         n = F.size(acc)
         tail = F.when(n > 0, F.element_at(acc, F.greatest(n, F.lit(1)))).otherwise("")
-        fits = (n > 0) & ((F.length(tail) == 0) | (F.length(tail) + F.length(b) + 2 <= limit))
-        joined = F.concat(tail, F.when(F.length(tail) > 0, F.lit("\n\n")).otherwise(""), b)
+        fits = (n > 0) & ((F.length(tail) == 0) | (F.length(tail) + F.length(b) + len(gap) <= limit))
+        joined = F.concat(tail, F.when(F.length(tail) > 0, F.lit(gap)).otherwise(""), b)
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(b)))
 
     return F.aggregate(blocks, F.array().cast("array<string>"), add)

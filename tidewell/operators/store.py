@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,15 +54,22 @@ class Store:
         done = sorted(n for n in names if n.startswith("v"))
         return f"{self.path}/{done[-1]}" if done else None
 
+    def sent(self, period: str, destination: str, part: int, message_id: int, html: str) -> None:
+        """Add a part to the publications, which are a log beside the snapshots: an entry stands as soon as its part is sent."""
+        row = self.spark.createDataFrame([(period, destination, part, message_id, html, datetime.now(UTC).isoformat())], schema.PUBLICATIONS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/log/publications")
+
     def read(self, table: str) -> DataFrame:
         kind, at = getattr(schema, table.upper()), self._current()
+        if table == "publications":
+            at = f"{self.path}/log" if self._fs.exists(self._at(f"{self.path}/log/publications")) else None
         columns = [x.split()[0] for x in kind.split(", ")]  # a partition column is read last
         return self.spark.read.schema(kind).parquet(f"{at}/{table}").select(columns) if at else self.spark.createDataFrame([], kind)
 
     def write(self, **tables: DataFrame) -> None:
         at = self._current()
         stage = f"{self.path}/_{uuid.uuid4().hex}"
-        for name in ("messages", "entries", "publications"):
+        for name in ("messages", "entries"):
             df = tables.get(name, self.read(name))
             out = df.write.partitionBy("period_key") if name == "entries" else df.write
             out.parquet(f"{stage}/{name}")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.period import in_month
+from ..functions.period import in_month, in_zoned_month
 from ..operators import classify as C
+from ..operators import edition as E
 from ..operators import render as R
 from ..operators import store as S
+from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,3 +236,112 @@ def decoded_reply(spark, sf_dir):
     }
     cats, found = C.decoded(spark, C.reply_object(f"so: ```json\n{json.dumps(reply, ensure_ascii=False)}\n``` done"))
     return C.with_category(found, cats).select("id", "eligible", "category", "title", "confidence", "category_title")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS utc FROM (SELECT event_id, ts - INTERVAL 10 DAY AS ts FROM events) WHERE ts >= TIMESTAMP '2023-12-31 23:00:00' AND ts < TIMESTAMP '2024-01-31 23:00:00'")
+def zoned_month(spark, sf_dir):
+    """Events ten days earlier, so that some are of the month before."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("ts") - F.expr("interval 10 days")).alias("ts"))
+    return e.where(in_zoned_month(F.col("ts"), "2024-01")).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("utc"))
+
+
+def _chats(spark, sf_dir) -> DataFrame:
+    """Orders as messages of a customer's chat; some are albums, some have no text."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, F.lit(" \t")).otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("  \n"), F.col("o_orderstatus")))
+    group = F.when(key % 3 > 0, F.col("o_orderpriority"))
+    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("chat_id"), key.alias("message_id"), group.alias("media_group_id"), text.alias("source_text"))
+
+
+CHATS = "chats AS (SELECT o_custkey % 50 AS chat_id, o_orderkey AS message_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS media_group_id, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 THEN o_orderpriority || ' ' || o_orderstatus END AS words FROM orders)"
+
+
+@query(f"""WITH {CHATS} SELECT chat_id, min(message_id) AS message_id, count(*) AS messages, arg_min(words, message_id) FILTER (WHERE words IS NOT NULL) AS words,
+ CASE WHEN count(words) = 0 THEN 'needs_review' ELSE 'ready' END AS status FROM chats GROUP BY chat_id, media_group_id, CASE WHEN media_group_id IS NULL THEN message_id END""")
+def album_entries(spark, sf_dir):
+    return E.albums(_chats(spark, sf_dir))
+
+
+def _updates(spark, sf_dir) -> DataFrame:
+    """Orders as live updates; every sixth is followed by an edit, which arrives twice."""
+    key, at = F.col("o_orderkey"), F.lit(1_700_000_000) + F.col("o_orderkey")
+    text = F.when(key % 5 == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))
+    body = lambda edit, words, caption: F.struct(key.alias("message_id"), F.struct((F.col("o_custkey") % 50).alias("id")).alias("chat"), at.alias("date"), edit.cast("long").alias("edit_date"), words.alias("text"), caption.alias("caption"), F.lit(None).cast("string").alias("media_group_id"))
+    o = read(spark, sf_dir, "orders")
+    new = body(F.lit(None), text, F.when(key % 10 == 0, F.lit(" on  it ")).cast("string"))
+    old = body(at + 60, F.concat(F.lit("now "), F.col("o_orderstatus")), F.lit(None).cast("string"))
+    sent = o.select((key * 2).alias("update_id"), new.alias("message"), F.lit(None).cast(live.UPDATE.partition("edited_message ")[2]).alias("edited_message"))
+    edits = o.where("o_orderkey % 6 = 0").select((key * 2 + 1).alias("update_id"), F.lit(None).cast(live.UPDATE.partition("edited_message ")[2]).alias("message"), old.alias("edited_message"))
+    return sent.union(edits).union(edits)
+
+
+@query("""SELECT o_custkey % 50 AS chat_id, o_orderkey AS message_id, CASE WHEN o_orderkey % 6 = 0 THEN 'now ' || o_orderstatus WHEN o_orderkey % 10 = 0 THEN 'on it' WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS words,
+ CASE WHEN o_orderkey % 6 > 0 AND o_orderkey % 10 > 0 AND o_orderkey % 5 = 0 THEN 'needs_review' ELSE 'ready' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END::BIGINT AS edits FROM orders""")
+def live_messages(spark, sf_dir):
+    return live.latest(live.captured(_updates(spark, sf_dir))).select("chat_id", "message_id", "words", "status", "edits")
+
+
+@query(f"WITH {CHATS} SELECT chat_id, before + 1 AS first_missing, message_id - 1 AS last_missing FROM (SELECT chat_id, message_id, lag(message_id) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM chats) WHERE message_id - before > 1")
+def missing_messages(spark, sf_dir):
+    return E.gaps(_chats(spark, sf_dir), 1 << 10)
+
+
+@query(f"""WITH {CHATS} SELECT message_id, CASE WHEN message_id % 4 = 0 AND message_id % 8 > 0 THEN words || ' 2' ELSE words END AS words,
+ message_id % 4 = 0 AND message_id % 8 > 0 AND words IS NOT NULL AS changed FROM chats""")
+def edited_messages(spark, sf_dir):
+    """Every fourth message is edited twice; the later edit changes the text of every other one of them."""
+    rows = _chats(spark, sf_dir).select("message_id", "source_text")
+    some = rows.where("message_id % 4 = 0")
+    first = some.select("message_id", F.lit(1).alias("edited_at"), F.lit("gone").alias("source_text"))
+    last = some.select("message_id", F.lit(2).alias("edited_at"), F.when(F.col("message_id") % 8 > 0, F.when(E.prepared(F.col("source_text")) != "", F.concat("source_text", F.lit(" 2")))).otherwise(F.col("source_text")).alias("source_text"))
+    words = F.nullif(E.prepared(F.col("source_text")), F.lit(""))
+    found = E.edited(rows, first.union(last), ["message_id"])
+    return found.select("message_id", words.alias("words"), (F.col("changed") & words.isNotNull()).alias("changed"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS text_hash FROM documents WHERE trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) FROM documents WHERE doc_id % 3 = 0)")
+def uncached_texts(spark, sf_dir):
+    """Documents whose text is not among those that already have a result."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text"))
+    known = d.where("doc_id % 3 = 0").select(E.text_hash(F.col("source_text")).alias("text_hash"))
+    return E.uncached(d, known).select("doc_id", "text_hash")
+
+
+RULED = """ruled AS (SELECT doc_id, w, substring(w, 1, 35) AS head FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), '') AS w FROM documents)),
+ titled AS (SELECT doc_id, CASE WHEN length(w) <= 34 THEN w WHEN contains(head, ' ') THEN regexp_replace(head, ' [^ ]*$', '') ELSE substring(w, 1, 34) END AS title FROM ruled)"""
+
+
+@query(f"""WITH {RULED} SELECT doc_id, CASE WHEN title IS NOT NULL THEN 'other' END AS category, title, CASE WHEN title IS NULL THEN 'needs_review' ELSE 'ready' END AS status,
+ CASE WHEN length(title) <= 28 THEN 'target' WHEN length(title) <= 34 THEN 'preferred' WHEN title IS NOT NULL THEN 'too long' END AS grade FROM titled""")
+def ruled_titles(spark, sf_dir):
+    found = E.by_rule(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text")))
+    return found.select("doc_id", "category", "title", "status", E.title_grade(F.col("title")).alias("grade"))
+
+
+@query(f"WITH {RULED} SELECT doc_id, count(*) OVER (PARTITION BY title, lang) > 1 AS duplicate FROM titled JOIN documents USING (doc_id)")
+def duplicate_titles(spark, sf_dir):
+    found = E.by_rule(read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("source_text")))
+    return E.duplicate_titles(found, ["title", "lang"]).select("doc_id", "duplicate")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS period_key, (o_orderkey % 100)::INT AS part_no, o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderstatus = 'F' AND p.o_custkey % 2 = 0 AND strftime(p.o_orderdate, '%Y-%m') = strftime(o.o_orderdate, '%Y-%m') AND p.o_orderkey % 100 = o.o_orderkey % 100)")
+def unsent_parts(spark, sf_dir):
+    """Orders as parts; those of status F are logged, and have a message id where the customer's key is even."""
+    o = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), (F.col("o_orderkey") % 100).cast("int").alias("part_no"), "o_orderkey", "o_custkey", "o_orderstatus")
+    log = o.where("o_orderstatus = 'F'").select("period_key", "part_no", F.lit("here").alias("destination"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey")).alias("telegram_message_id"))
+    elsewhere = o.select("period_key", "part_no", F.lit("elsewhere").alias("destination"), F.col("o_orderkey").alias("telegram_message_id"))
+    return E.unsent(o.select("period_key", "part_no", "o_orderkey"), log.union(elsewhere), "here")
+
+
+SPLIT = 400
+
+
+@query(f"""WITH RECURSIVE {LINES}, g AS (SELECT period_key, emoji, category, line, rank, row_number() OVER w AS n, first_value(rank) OVER w AS ord, {SPLIT} - length(emoji || ' <b>' || {ESCAPED.format("category")} || '{E.MORE}</b>') - 1 AS room
+ FROM lines WINDOW w AS (PARTITION BY period_key, emoji, category ORDER BY rank)),
+f AS (SELECT period_key, ord, category, emoji, n, line, 0 AS piece, length(line) AS size FROM g WHERE n = 1
+ UNION ALL SELECT g.period_key, g.ord, g.category, g.emoji, g.n, g.line, CASE WHEN f.size + 1 + length(g.line) > g.room THEN f.piece + 1 ELSE f.piece END, CASE WHEN f.size + 1 + length(g.line) > g.room THEN length(g.line) ELSE f.size + 1 + length(g.line) END
+ FROM f JOIN g ON g.period_key = f.period_key AND g.ord = f.ord AND g.n = f.n + 1)
+SELECT period_key, ord::INT AS ord, piece, any_value(emoji) || ' <b>' || {ESCAPED.format("any_value(category)")} || CASE WHEN piece > 0 THEN '{E.MORE}' ELSE '' END || '</b>' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS block FROM f GROUP BY period_key, ord, piece""")
+def split_blocks(spark, sf_dir):
+    """Blocks of all months, split where they pass 400 code points."""
+    return E.split_blocks(digest_lines(spark, sf_dir), SPLIT)

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.period import canonical
 from ..operators import classify as C
 from ..operators import render as R
+from ..operators.edition import unsent
 from ..operators.store import Store, absent, first_by, numbered
 from ..sources import export
 
@@ -74,5 +75,18 @@ def publish(parts: list[str], send: Callable[[str, str, str], object], token: st
         send(token, target, part)
 
 
+def publish_rest(store: Store, period: str, parts: list[str], send: Callable[[str, str, str], dict], token: str, target: str) -> int:
+    """Send the parts that the target has not got, in order, and log each with its message's id; how many were sent. After a
+    failure the next run goes on with the part that failed. A reply without an id is an error."""
+    if not token or not target:
+        raise SystemExit("a bot token and a target chat are needed")
+    listed = store.spark.createDataFrame([(canonical(period), n, x) for n, x in enumerate(parts, 1)], "period_key string, part_no int, html string")
+    rest = unsent(listed, store.read("publications"), target).orderBy("part_no").collect()  # parts of one edition
+    for r in rest:
+        reply = send(token, target, r["html"])
+        store.sent(r["period_key"], target, r["part_no"], int(reply["result"]["message_id"]), r["html"])
+    return len(rest)
+
+
 def root() -> Path:
     return Path(__file__).resolve().parents[2]

@@ -39,12 +39,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("message_id"), T.source_url("market", F.col("o_orderkey")).alias("source_url"), F.col("o_orderpriority").alias("source_text"))
 
 
-def entries(spark: SparkSession, sf_dir: str, category: str = "o_orderpriority", period: str | None = None) -> DataFrame:
-    """Entries of all months or of one, whose range of dates then reaches the scan."""
+def entries(spark: SparkSession, sf_dir: str, period: str | None = None) -> DataFrame:
+    """Entries of all months or of one, whose range of dates then reaches the scan. Some have a title or category by hand, or
+    are excluded."""
     o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     rows = (o.where(in_month(F.col("o_orderdate"), period)) if period else o).join(c, o["o_custkey"] == c["c_custkey"])
-    none = F.lit(None).cast("string")
-    return rows.select(F.col("o_orderkey").alias("message_pk"), F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), (F.col("o_orderstatus") == "F").cast("int").alias("eligible"), F.col(category).alias("category_title"), none.alias("category_emoji"), F.col("c_name").alias("short_title"), none.alias("manual_title"), none.alias("manual_category"), none.alias("excluded_reason"))
+    key = F.col("o_orderkey")
+    return rows.select(key.alias("message_pk"), F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), (F.col("o_orderstatus") == "F").cast("int").alias("eligible"), F.col("o_orderpriority").alias("category_title"), F.when(F.col("o_orderpriority").startswith("1"), "🔥").alias("category_emoji"), F.col("c_name").alias("short_title"), F.when(key % 10 == 3, "by <hand>").alias("manual_title"), F.when(key % 13 == 4, "Своё").alias("manual_category"), F.when(key % 11 == 5, "spam").alias("excluded_reason"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01'")
@@ -124,7 +125,7 @@ def surrogate_ids_all_periods(spark, sf_dir):
     return S.numbered_whole(read(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE strftime(o_orderdate, '%Y-%m') = '1998-07'")
+@query("SELECT o_orderkey AS id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE strftime(o_orderdate, '%Y-%m') = '1998-07' AND o_orderkey % 10 <> 3")
 def classify_rows(spark, sf_dir):
     return C.requests(messages(spark, sf_dir), entries(spark, sf_dir), MONTH)
 
@@ -141,11 +142,15 @@ def id_set_diff(spark, sf_dir):
     return C.id_difference(a, read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT o_orderkey AS message_pk, strftime(o_orderdate, '%Y-%m') AS period_key, CASE WHEN hit THEN 1 ELSE (o_orderstatus = 'F')::INT END AS eligible, CASE WHEN hit THEN 'new' ELSE o_orderpriority END AS category_title FROM (SELECT *, o_orderkey % 2 = 0 AND strftime(o_orderdate, '%Y-%m') = '1998-07' AS hit FROM orders JOIN customer ON o_custkey = c_custkey)")
+@query("""
+SELECT o_orderkey AS message_pk, strftime(o_orderdate, '%Y-%m') AS period_key, CASE WHEN hit THEN 1 ELSE (o_orderstatus = 'F')::INT END AS eligible, CASE WHEN hit THEN 'h' ELSE 'old' END AS category_code,
+ CASE WHEN hit THEN 'new' ELSE o_orderpriority END AS category_title, CASE WHEN hit THEN '🏠' WHEN o_orderpriority LIKE '1%' THEN '🔥' END AS category_emoji, CASE WHEN hit THEN 't' || o_orderkey ELSE c_name END AS short_title,
+ CASE WHEN hit THEN NULL ELSE 'low' END AS confidence, CASE WHEN hit THEN 'fake' ELSE 'none' END AS provider, CASE WHEN o_orderkey % 10 = 3 THEN 'by <hand>' END AS manual_title
+FROM (SELECT *, o_orderkey % 2 = 0 AND strftime(o_orderdate, '%Y-%m') = '1998-07' AS hit FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def apply_update(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    new = messages(spark, sf_dir).where("id % 2 = 0").select("id", F.lit(1).alias("eligible"), none.alias("category"), F.lit("new").alias("category_title"), none.alias("category_emoji"), none.alias("title"), none.alias("confidence"))
-    return C.updated(entries(spark, sf_dir), new, MONTH, "fake").select("message_pk", "period_key", "eligible", "category_title")
+    new = messages(spark, sf_dir).where("id % 2 = 0").select("id", F.lit(1).alias("eligible"), F.lit("h").alias("category"), F.lit("new").alias("category_title"), F.lit("🏠").alias("category_emoji"), F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("confidence"))
+    old = entries(spark, sf_dir).withColumns({"category_code": F.lit("old"), "confidence": F.lit("low"), "provider": F.lit("none")})
+    return C.updated(old, new, MONTH, "fake").drop("manual_category", "excluded_reason")
 
 
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' END, ''), nullif(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, ''), 'Объявление') AS title FROM customer")
@@ -156,9 +161,9 @@ def title_fallback(spark, sf_dir):
 
 
 LINES = f"""lines AS (SELECT strftime(o_orderdate, '%Y-%m') AS period_key,
- row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderpriority NULLS FIRST, c_name NULLS FIRST, o_orderkey) AS rank, '📦' AS emoji, o_orderpriority AS category,
- '• ' || {ESCAPED.format("c_name")} || chr(8239) || '<a href="https://t.me/market/' || o_orderkey || '">↗</a>' AS line
- FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"""
+ row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderpriority NULLS FIRST, c_name NULLS FIRST, o_orderkey) AS rank, CASE WHEN o_orderpriority LIKE '1%' THEN '🔥' ELSE '📦' END AS emoji, CASE WHEN o_orderkey % 13 = 4 THEN 'Своё' ELSE o_orderpriority END AS category,
+ '• ' || {ESCAPED.format("CASE WHEN o_orderkey % 10 = 3 THEN 'by <hand>' ELSE c_name END")} || chr(8239) || '<a href="https://t.me/market/' || o_orderkey || '">↗</a>' AS line
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderkey % 11 <> 5)"""
 BLOCKS = f"""{LINES}, blocks AS (SELECT period_key, min(rank) AS ord, emoji || ' <b>' || {ESCAPED.format("category")} || '</b>' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS block FROM lines GROUP BY period_key, emoji, category)"""
 PARTS = f"""{BLOCKS}, b AS (SELECT period_key, block, row_number() OVER (PARTITION BY period_key ORDER BY ord) AS n FROM blocks),
 f AS (SELECT period_key, n, block, 1 AS part, length(block) AS size FROM b WHERE n = 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, hamming, idstore, packing, quality, secrets, similarity, toxicity, warc
+from . import audit, bestfit, chat, decontamination, hamming, idstore, packing, quality, repair, secrets, similarity, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": hamming.op1_hamming_topk,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_id_store": idstore.op9_id_store,
     "op10_secrets": secrets.op10_secrets,
+    "op11_best_fit": bestfit.op11_best_fit,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_structure_repair": repair.op13_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_topk": hamming.SQL,
     "op2_decontamination": decontamination.SQL,
     "op6_chat": chat.SQL,
+    "op12_filter_audit": audit.SQL,
+    "op13_structure_repair": repair.SQL,
 }

@@ -1,15 +1,21 @@
+import io
 import json
+from concurrent.futures import ThreadPoolExecutor
+from urllib.error import HTTPError
 
 import duckdb
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions.period import canonical, month_bounds
 from tidewell.operators import edition as E
-from tidewell.operators.classify import reply_object
-from tidewell.operators.store import Store, numbered_whole
+from tidewell.operators.classify import cascade, reply_object
+from tidewell.operators.store import Conflict, Store, numbered
 from tidewell.plans import catalogue, digest
+from tidewell.sources import export
 from tidewell.sources.settings import dotenv
 from tidewell.streaming import live
 
@@ -38,8 +44,27 @@ def test_packing(spark):
 def test_reply():
     assert reply_object('say ```json\n{"a": 1}\n``` ok') == {"a": 1}
     assert reply_object('{"a": 1} trailing') == {"a": 1}
-    with pytest.raises(ValueError):
-        reply_object('leading {"a": 1}')
+    assert reply_object('```json\n{"a": 1}\n```\n```\nno json\n```') == {"a": 1}
+    assert reply_object('```\nno\n``` ```json {"a": "b ``` c"}``` {"z": 2}') == {"a": "b ``` c"}
+    assert reply_object('```{bad}``` ```{"a": 1}') == {"a": 1}
+    for text in ('leading {"a": 1}', "[1]", "", "```json\n[1]\n```"):
+        with pytest.raises(ValueError):
+            reply_object(text)
+
+
+def test_a_refused_request_is_reported_in_the_servers_words(spark):
+    def refused(text):
+        raise HTTPError("http://x", 400, "Bad Request", {}, io.BytesIO(b'{"error": "quota of the model is spent"}' + b"." * 5000))
+
+    with pytest.raises(RuntimeError, match="a: HTTP Error 400: Bad Request: .*quota") as error:
+        cascade(spark, spark.range(1), {"a": refused}, "text")
+    assert len(str(error.value)) == len("a: ") + 800
+
+
+def test_prompt():
+    text = digest.prompt([{"id": 1, "text": "è"}], "Города")
+    assert text.endswith('[{"id":1,"text":"è"}]') and "не Города" in text and "не должны повторяться" in text and '"include":true' in text
+    assert "не  " not in digest.prompt([]) and "None" not in digest.prompt([])
 
 
 def test_dotenv(tmp_path):
@@ -74,38 +99,141 @@ def test_commands(spark, tmp_path):
         digest.classify(spark, store, "2026-09", {"a": lambda text: "{}"})
 
 
-def test_numbered_whole(spark):
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")
-    try:
-        got = numbered_whole(spark.range(0, 3000, 3, 5).selectExpr("2999 - id AS k"), 10, "k")
-        assert got.rdd.getNumPartitions() > 1
+def test_numbered_by_cells(spark):
+    rows = spark.range(0, 3000, 3, 5).selectExpr("2999 - id AS k")
+    for cell_rows in (7, 100, 1 << 20):
+        got = numbered(rows, 10, "k", cell_rows)
         assert sorted((r["id"], r["k"]) for r in got.collect()) == [(11 + i, 2 + 3 * i) for i in range(1000)]
-    finally:
-        spark.conf.unset(key)
-    assert numbered_whole(spark.createDataFrame([], "k long"), 10, "k").count() == 0
+    plan = numbered(rows, 10, "k", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "RDD" not in plan and "SinglePartition" not in plan
+    assert numbered(spark.createDataFrame([], "k long"), 10, "k").count() == 0
+
+
+def digest_store(spark, tmp_path, months=("2026-08", "2026-09")):
+    store = Store(spark, str(tmp_path / "store"))
+    for k, month in enumerate(months):
+        assert digest.add(store, month, month_of_messages(spark, k, month), "pos") == 3
+    return store
+
+
+def month_of_messages(spark, k, month):
+    items = [(i, json.dumps({"type": "message", "id": 10 * k + i, "date": f"{month}-0{i}T00:00:00", "text": f"text {i}"})) for i in (1, 2, 3)]
+    return export.qualifying(spark.createDataFrame(items, "pos int, m string").withColumn("m", F.parse_json("m")), month, "c", "u")
+
+
+def answer(prefix, ids):
+    return {"fake": lambda text: json.dumps({"categories": [{"code": "c", "title": "Cat", "emoji": "x"}], "entries": [{"id": i, "include": True, "category": "c", "title": f"{prefix} {i}"} for i in ids]})}
 
 
-def test_publish_rest(spark, tmp_path):
-    store, sent = Store(spark, str(tmp_path / "store")), []
+def test_one_months_update_writes_one_partition(spark, tmp_path):
+    store = digest_store(spark, tmp_path)
+    files = lambda: {str(x.relative_to(tmp_path)) for x in (tmp_path / "store").glob("data/*/*")}
+    before = files()
+    assert store.version() == 2 and store.top() == 6 and len(before) == 4
+    digest.classify(spark, store, "2026-09", answer("new", (4, 5, 6)))
+    (added,) = files() - before
+    assert added.startswith("store/data/entries/2026-09-") and before < files()
+    assert all("/2026-09-" in x for x in store.read("entries", "2026-09").inputFiles() + store.read("messages", "2026-09").inputFiles())
+    assert digest.add(store, "2026-08", month_of_messages(spark, 0, "2026-08"), "pos") == 0 and store.version() == 3  # nothing new, no version
+    assert [r["short_title"] for r in store.read("entries").orderBy("message_pk").collect()] == [None] * 3 + ["new 4", "new 5", "new 6"]
+    assert {r["short_title"] for r in store.read("entries", version=2).collect()} == {None}
+    assert store.expire(keep=1, older=3600) == 2 and len(files()) == 5  # young folders stay
+    assert store.expire(keep=1, older=0) == 1 and len(files()) == 4 and store.read("entries").count() == 6
+
+
+def test_a_failed_or_late_write_changes_nothing(spark, tmp_path):
+    store = digest_store(spark, tmp_path)
+    names = lambda: sorted(str(x) for x in (tmp_path / "store").rglob("*") if not x.name.startswith("."))
+    rows, before, base = store.read("entries", "2026-09"), names(), store.version()
+    with pytest.raises(Exception, match="broken"):
+        store.commit(base, {("entries", "2026-09"): rows, ("entries", "2026-08"): rows.withColumn("eligible", F.raise_error(F.lit("broken")).cast("int"))})
+    assert names() == before and store.version() == base
+    assert store.commit(base, {("entries", "2026-09"): rows}) == base + 1
+    before = names()
+    with pytest.raises(Conflict):
+        store.commit(base, {("entries", "2026-09"): rows.where("false")})
+    assert names() == before and store.read("entries", "2026-09").count() == 3
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    store = digest_store(spark, tmp_path)
+    base, rows = store.version(), store.read("entries", "2026-09")
+
+    def write(k):
+        try:
+            return store.commit(base, {("entries", "2026-09"): rows.withColumn("provider", F.lit(str(k)))}) and k
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        (won,) = [k for k in pool.map(write, range(4)) if k is not None]
+    assert {r["provider"] for r in store.read("entries", "2026-09").collect()} == {str(won)} and store.version() == base + 1
+
+
+def test_publishing_goes_on_with_the_pinned_edition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "LIMIT", 60)  # so that there are parts
+    store, sent = digest_store(spark, tmp_path), []
+    reply = lambda name: {"fake": lambda text: json.dumps({"categories": [{"code": str(i), "title": f"Cat {i}", "emoji": "x"} for i in (4, 5, 6)], "entries": [{"id": i, "include": True, "category": str(i), "title": f"{name} {i}"} for i in (4, 5, 6)]})}
 
     def send(token, target, html):
-        if html == "b" and len(sent) == 1:
+        if len(sent) == 1 and "failed" not in sent:
             sent.append("failed")
             raise OSError("down")
         sent.append(html)
         return {"result": {"message_id": len(sent)}}
 
+    digest.classify(spark, store, "2026-09", reply("old"))
+    want = digest.render(store, "2026-09")
+    assert len(want) == 3
     with pytest.raises(OSError):
-        digest.publish_rest(store, "2026-9", ["a", "b", "c"], send, "t", "here")
-    assert digest.publish_rest(store, "2026-09", ["a", "b", "c"], send, "t", "here") == 2
-    assert digest.publish_rest(store, "2026-09", ["a", "b", "c"], send, "t", "here") == 0
-    assert sent == ["a", "failed", "b", "c"]
-    assert digest.publish_rest(store, "2026-09", ["a"], send, "t", "there") == 1
-    log = store.read("publications").where("destination = 'here'").orderBy("part_no").collect()
-    assert [(r["period_key"], r["part_no"], r["telegram_message_id"], r["rendered_html"]) for r in log] == [("2026-09", 1, 1, "a"), ("2026-09", 2, 3, "b"), ("2026-09", 3, 4, "c")]
+        digest.publish_rest(store, "2026-9", send, "t", "here")
+    digest.classify(spark, store, "2026-09", reply("new"))
+    assert digest.render(store, "2026-09") != want
+    assert digest.publish_rest(store, "2026-09", send, "t", "here") == 2
+    assert digest.publish_rest(store, "2026-09", send, "t", "here") == 0
+    assert sent == [want[0], "failed", *want[1:]]
+    assert digest.publish_rest(store, "2026-09", send, "t", "there") == 3 and "new 4" in "".join(sent[-3:])
+    log = store.read("publications", "2026-09").where("destination = 'here'").orderBy("part_no").collect()
+    assert [(r["part_no"], r["telegram_message_id"], r["rendered_html"]) for r in log] == [(1, 1, want[0]), (2, 3, want[1]), (3, 4, want[2])]
+    store.sent("2026-08", "here", 1, 9, "from elsewhere")
+    with pytest.raises(ValueError, match="another edition"):
+        digest.publish_rest(store, "2026-08", send, "t", "here")
     with pytest.raises(SystemExit):
-        digest.publish_rest(store, "2026-09", ["a"], send, "", "here")
+        digest.publish_rest(store, "2026-09", send, "", "here")
+    assert digest.publish_rest(store, "2026-07", send, "t", "here") == 0
+    bad = store.read("editions", "2026-09").withColumn("html", F.lit("changed"))
+    store.commit(store.version(), {("editions", "2026-09"): bad})
+    with pytest.raises(ValueError, match="damaged"):
+        digest.publish_rest(store, "2026-09", send, "t", "here")
+
+
+EXPORTS = [
+    {"name": "x, [y]", "o": {"a": [1, {"b": 2}], "c": 3}, "messages": [1, None, "a,b", 'q"u\\o,te', "br{a]c,", {"t": ["é,中\n", {"text": ",\\"}], "n": {"k": [[], {}]}}, [1, [2]], -2.5, True], "z": [[1, 2], [3]], "w": 5},
+    {"messages": [{"id": i, "text": "long, " * (i % 40)} for i in range(60)]},
+    {"messages": []}, {"messages": None}, {"a": {"messages": [7]}}, {},
+]
+CORRUPT = ['{"messages":[1,2]', '{"messages":[1,,2]}', "[1,2]", '{"messages":{"a":1,"b":2}}', '{"messages":[{"a":1,"a":2}]}', '{"messages":[1]} x', '{"messages":[1],"b":tru}']
+
+
+@pytest.mark.parametrize("size", [97, 11])
+def test_export_in_byte_ranges(spark, tmp_path, size):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    listed = lambda df: [(r["pos"], r["j"]) for r in df.select("pos", F.to_json("m").alias("j")).orderBy("pos").collect()]
+    try:
+        for k, value in enumerate(EXPORTS[: 6 if size == 97 else 1]):
+            path = tmp_path / f"{k}.json"
+            path.write_text(json.dumps(value, ensure_ascii=k % 2 == 0, indent=None if k % 2 else 1))
+            whole = spark.read.schema("messages array<variant>").option("multiLine", True).json(str(path)).select(F.posexplode("messages").alias("pos", "m"))
+            assert listed(export.scan(spark, str(path))) == listed(whole)
+        for k, text in enumerate(CORRUPT if size == 97 else CORRUPT[:1]):
+            path = tmp_path / f"bad{k}.json"
+            path.write_text(text)
+            with pytest.raises((PySparkException, Py4JJavaError)):
+                export.scan(spark, str(path)).collect()
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_live(spark, tmp_path):

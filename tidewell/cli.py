@@ -29,14 +29,14 @@ def main(args: list[str] | None = None) -> None:
         print(digest.import_export(spark, store, a.file, a.period, s.source_chat_id, s.source_username))
     elif a.command == "classify":
         print(digest.classify(spark, store, a.period, remote.providers(s), s.place))
+    elif a.command == "publish":
+        digest.publish_rest(store, a.period, remote.send, s.bot_token, s.source_chat_id, s.brand)
     else:
         parts = digest.render(store, a.period, s.brand)
         if a.command == "preview" and not a.send:
             print("\n\n--- PART ---\n".join(parts))
-        elif a.command == "preview":
-            digest.publish(parts, remote.send, s.bot_token, s.admin_chat_id)
         else:
-            digest.publish_rest(store, a.period, parts, remote.send, s.bot_token, s.source_chat_id)
+            digest.publish(parts, remote.send, s.bot_token, s.admin_chat_id)
 
 
 if __name__ == "__main__":

@@ -122,7 +122,7 @@ def surrogate_ids(spark, sf_dir):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1000 AS id FROM orders")
 def surrogate_ids_all_periods(spark, sf_dir):
-    return S.numbered_whole(read(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey")
+    return S.numbered(read(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey", cell_rows=1 << 16)
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE strftime(o_orderdate, '%Y-%m') = '1998-07' AND o_orderkey % 10 <> 3")
@@ -224,23 +224,30 @@ def qualifying_messages(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey::BIGINT AS id, (n_nationkey % 5 IN (0, 4))::INT AS eligible, 'c' || n_regionkey AS category,
-       CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'high' END AS confidence,
-       CASE WHEN n_regionkey = 4 THEN 'Другое' WHEN n_regionkey = 3 THEN NULL ELSE 'Title ' || n_regionkey END AS category_title
-FROM nation""")
+SELECT strftime(o_orderdate, '%Y-%m') AS period_key, o_orderkey AS id, (o_orderkey % 5 IN (0, 4))::INT AS eligible, o_orderpriority AS category,
+       CASE WHEN o_orderkey % 7 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority || ' ```' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'high' END AS confidence,
+       CASE WHEN o_orderpriority LIKE '5%' THEN 'Другое' WHEN o_orderpriority LIKE '4%' THEN NULL ELSE 'Title ' || o_orderpriority END AS category_title
+FROM orders WHERE strftime(o_orderdate, '%Y-%m') <> '1995-05'""")
 def decoded_reply(spark, sf_dir):
-    """A reply in a fence over the 25 nations: the last entry of an id and the last category of a code count."""
-    import json
-
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 by the schema
-    include = (True, 0, "", [], "no")
-    entry = lambda r, title: {"id": r[0], "include": include[r[0] % 5], "category": f"c{r[2]}", "title": title, "confidence": "high" if r[0] % 2 == 0 else None}
-    reply = {
-        "categories": [{"code": "c0", "title": "first"}, *({"code": f"c{k}", "title": None if k == 3 else f"Title {k}", "emoji": "x"} for k in range(4))],
-        "entries": [*(entry(r, r[1]) for r in rows), *(entry(r, r[1].lower()) for r in rows if r[0] < 5)],
-    }
-    cats, found = C.decoded(spark, C.reply_object(f"so: ```json\n{json.dumps(reply, ensure_ascii=False)}\n``` done"))
-    return C.with_category(found, cats).select("id", "eligible", "category", "title", "confidence", "category_title")
+    """A reply for each month's orders, most in a fence amid prose, one not valid: the last entry of an id and the last category
+    of a code count."""
+    key = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("period_key"), "o_orderkey", "o_orderpriority")
+    include = F.element_at(F.array(*map(F.lit, ("true", "0", '""', "[]", '"no"'))), (key % 5 + 1).cast("int"))
+    entry = lambda title: F.concat(F.lit('{"id":'), key, F.lit(',"include":'), include, F.lit(',"category":"'), F.col("o_orderpriority"), F.lit('","title":"'), title, F.lit('","confidence":'), F.when(key % 2 == 0, '"high"').otherwise("null"), F.lit("}"))
+    first = entry(F.concat("o_orderpriority", F.lit(" ```")))
+    entries_ = F.when(key % 7 == 0, F.concat(first, F.lit(","), entry(F.lower("o_orderpriority")))).otherwise(first)
+    category = lambda title: F.concat(F.lit('{"code":"'), F.col("o_orderpriority"), F.lit('","title":'), title, F.lit("}"))
+    named = F.when(F.col("o_orderpriority").startswith("4"), F.lit("null")).otherwise(F.concat(F.lit('"Title '), "o_orderpriority", F.lit('"')))
+    known = F.when(~F.col("o_orderpriority").startswith("5"), F.concat(category(F.lit('"first"')), F.lit(","), category(named)))
+    body = rows.groupBy("period_key").agg(F.array_join(F.collect_list(entries_), ",").alias("e"), F.array_join(F.collect_set(known), ",").alias("c"))
+    text = F.concat(F.lit('{"categories":['), "c", F.lit('],"entries":['), "e", F.lit("]}"))
+    text = F.when(F.col("period_key") == "1995-05", F.substring(text, 1, 40)).when(F.col("period_key").endswith("01"), text).otherwise(F.concat(F.lit("so: ```json\n"), text, F.lit("\n``` done ```")))
+    cats, found = C.replies(body.select("period_key", text.alias("reply")))
+    cats = cats.withColumnRenamed("code", "__code")
+    joined = found.join(cats, (found["period_key"] == cats["period_key"]) & found["category"].eqNullSafe(cats["__code"]), "left")
+    title = F.when(cats["__code"].isNull(), T.NO_CATEGORY).otherwise(cats["category_title"])
+    return joined.select(found["period_key"], "id", "eligible", "category", "title", "confidence", title.alias("category_title"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS utc FROM (SELECT event_id, ts - INTERVAL 10 DAY AS ts FROM events) WHERE ts >= TIMESTAMP '2023-12-31 23:00:00' AND ts < TIMESTAMP '2024-01-31 23:00:00'")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -14,13 +15,15 @@ from ..functions.period import canonical
 from ..operators import classify as C
 from ..operators import render as R
 from ..operators.edition import unsent
-from ..operators.store import Store, absent, first_by, numbered
+from ..operators.store import Conflict, Store, absent, first_by, numbered
 from ..sources import export
 
 #: The keys of the reply are fixed values, as the reply's reader expects them.
 INSTRUCTIONS = """Ниже строки с объявлениями участников группы{place} за месяц; подготовь их для обзора.
 Решай по каждой строке отдельно: объявление включай, а реплики, споры и служебные записи отмечай include=false.
 Заголовок короткий, не длиннее 34 знаков; в нём нет сумм, телефонов, имён пользователей, адресов сайтов и слов из названия рубрики.
+В заголовок бери самое важное: что это, для кого, в чём отличие. Если речь о другом населённом пункте{other}, назови его.
+Внутри одной рубрики заголовки не должны повторяться.
 Рубрик бери мало, каждая должна подходить нескольким объявлениям.
 Ответ состоит из одного объекта JSON такого вида:
 {{"categories":[{{"code":"...","title":"...","emoji":"..."}}],"entries":[{{"id":1,"include":true,"category":"...","title":"...","confidence":"high|low"}}]}}
@@ -28,6 +31,10 @@ INSTRUCTIONS = """Ниже строки с объявлениями участн
 """
 
 
+def prompt(rows: list[dict], place: str = "") -> str:
+    return INSTRUCTIONS.format(place=place and f" {place}", other=place and f", не {place}") + C.payload(rows)
+
+
 def import_export(spark: SparkSession, store: Store, path: str, period: str, chat_id: str, username: str) -> int:
     """Add an export's messages of a month; the number of those that qualify, known ones included."""
     period = canonical(period)
@@ -35,37 +42,84 @@ def import_export(spark: SparkSession, store: Store, path: str, period: str, cha
     n = rows.count()
     if n and not username:
         raise ValueError("a source username is needed for links")
-    if not n:
-        return 0
-    old, known = store.read("messages"), store.read("entries")
-    fresh = absent(first_by(rows, ["chat_id", "message_id"], "pos"), old, ["chat_id", "message_id"])
-    top = old.agg(F.max("id")).collect()[0][0] or 0
-    columns = [x.split()[0] for x in schema.MESSAGES.split(", ")]
-    new = numbered(fresh, top, "pos").withColumn("imported_at", F.current_timestamp()).select(columns)
-    given = {"message_pk": F.col("id"), "period_key": F.lit(period), "eligible": F.lit(1)}
-    kinds = [x.split() for x in schema.ENTRIES.split(", ")]
-    store.write(messages=old.union(new), entries=known.union(new.select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds])))
+    if n:
+        add(store, period, first_by(rows, ["chat_id", "message_id"], "pos"), "pos")
     rows.unpersist()
     return n
 
 
+def add(store: Store, period: str, rows: DataFrame, order: str) -> int:
+    """Add messages that the store has not, with their entries, to a period; how many. Nothing to add makes no version."""
+    base = store.version()
+    # known in any period: a pruned scan of the keys
+    fresh = absent(rows, store.read("messages", version=base), ["chat_id", "message_id"]).cache()
+    n = fresh.count()
+    if n:
+        columns = [x.split()[0] for x in schema.MESSAGES.split(", ")]
+        new = numbered(fresh, store.top(base), order).withColumn("imported_at", F.current_timestamp()).select(columns)
+        given = {"message_pk": F.col("id"), "period_key": F.lit(period), "eligible": F.lit(1)}
+        kinds = [x.split() for x in schema.ENTRIES.split(", ")]
+        entries = new.select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds])
+        store.commit(base, {("messages", period): store.read("messages", period, base).union(new), ("entries", period): store.read("entries", period, base).union(entries)})
+    fresh.unpersist()
+    return n
+
+
 def classify(spark: SparkSession, store: Store, period: str, providers: dict[str, Callable[[str], str]], place: str = "") -> str:
     """Classify a period's entries; the provider's name. A rejected reply changes nothing."""
-    period = canonical(period)
-    known = store.read("entries")
-    asked = C.requests(store.read("messages"), known, period).cache()
+    period, base = canonical(period), store.version()
+    known = store.read("entries", period, base)
+    asked = C.requests(store.read("messages", period, base), known, period).cache()
     rows = [r.asDict() for r in asked.collect()]  # one request holds them all
     if not rows:
         return "nothing to classify"
-    name, new = C.cascade(spark, asked, providers, INSTRUCTIONS.format(place=place and f" {place}") + C.payload(rows))
-    store.write(entries=C.updated(known, new, period, name))
+    name, new = C.cascade(spark, asked, providers, prompt(rows, place))
+    store.commit(base, {("entries", period): C.updated(known, new, period, name)})
     return name
 
 
+def rendered(store: Store, period: str, brand: str, version: int) -> DataFrame:
+    """period_key, part_no, total, html of a period as of a version."""
+    return R.digest(store.read("entries", period, version), store.read("messages", period, version), T.LIMIT, brand)
+
+
 def render(store: Store, period: str, brand: str = "обЪявления") -> list[str]:
     """The parts of a period, in order."""
-    found = R.digest(store.read("entries").where(F.col("period_key") == canonical(period)), store.read("messages"), T.LIMIT, brand)
-    return [r["html"] for r in found.orderBy("part_no").collect()]
+    return [r["html"] for r in rendered(store, canonical(period), brand, store.version()).orderBy("part_no").collect()]
+
+
+def pinned(store: Store, period: str, destination: str, brand: str = "обЪявления") -> list[Row]:
+    """The parts of the period's edition for a destination, in order. The first call renders the store as it is and pins the
+    edition: its parts, the version that they were read from, and a hash of all of them. Later calls return the same
+    parts, whatever has been imported or classified since. Of two first calls at once one pins, the other gets its edition."""
+    period = canonical(period)
+    while True:
+        base = store.version()
+        known = store.read("editions", period, base)
+        mine = known.where(F.col("destination") == destination).orderBy("part_no").collect()  # parts of one edition
+        if mine:
+            texts = [r["html"] for r in mine]
+            if len(mine) != mine[0]["total"] or any(r["edition"] != edition_hash(texts) for r in mine):
+                raise ValueError(f"the pinned edition of {period} is damaged")
+            return mine
+        parts = rendered(store, period, brand, base).orderBy("part_no").collect()
+        if not parts:
+            return []
+        mark = edition_hash([r["html"] for r in parts])
+        new = store.spark.createDataFrame([(period, destination, mark, base, r["part_no"], r["total"], r["html"]) for r in parts], schema.EDITIONS)
+        try:
+            store.commit(base, {("editions", period): known.union(new)})
+        except Conflict:
+            continue
+
+
+def edition_hash(parts: list[str]) -> str:
+    """Of the parts' texts and where each ends."""
+    found = hashlib.sha256()
+    for x in parts:
+        data = x.encode()
+        found.update(len(data).to_bytes(8, "big") + data)
+    return found.hexdigest()
 
 
 def publish(parts: list[str], send: Callable[[str, str, str], object], token: str, target: str) -> None:
@@ -75,13 +129,22 @@ def publish(parts: list[str], send: Callable[[str, str, str], object], token: st
         send(token, target, part)
 
 
-def publish_rest(store: Store, period: str, parts: list[str], send: Callable[[str, str, str], dict], token: str, target: str) -> int:
-    """Send the parts that the target has not got, in order, and log each with its message's id; how many were sent. After a
-    failure the next run goes on with the part that failed. A reply without an id is an error."""
+def publish_rest(store: Store, period: str, send: Callable[[str, str, str], dict], token: str, target: str, brand: str = "обЪявления") -> int:
+    """Send the parts of the pinned edition that the target has not got, in order, and log each with its message's id; how
+    many were sent. After a failure the next run goes on with the part that failed, of the same edition. A logged part that
+    is not the edition's is an error, and so is a reply without an id."""
     if not token or not target:
         raise SystemExit("a bot token and a target chat are needed")
-    listed = store.spark.createDataFrame([(canonical(period), n, x) for n, x in enumerate(parts, 1)], "period_key string, part_no int, html string")
-    rest = unsent(listed, store.read("publications"), target).orderBy("part_no").collect()  # parts of one edition
+    period = canonical(period)
+    parts = pinned(store, period, target, brand)
+    if not parts:
+        return 0
+    listed = store.spark.createDataFrame([(r["period_key"], r["part_no"], r["html"]) for r in parts], "period_key string, part_no int, html string")
+    log = store.read("publications", period)
+    ours = log.where((F.col("destination") == target) & F.col("telegram_message_id").isNotNull())
+    if not ours.join(listed, "part_no", "left").where("html is null or html != rendered_html").isEmpty():
+        raise ValueError(f"parts of another edition of {period} were sent to this target")
+    rest = unsent(listed, log, target).orderBy("part_no").collect()  # parts of one edition
     for r in rest:
         reply = send(token, target, r["html"])
         store.sent(r["period_key"], target, r["part_no"], int(reply["result"]["message_id"]), r["html"])

@@ -3,4 +3,6 @@
 MESSAGES = "id long, chat_id string, message_id long, published_at string, sender_name string, source_text string, source_url string, media_type string, media_group_id string, imported_at timestamp"
 ENTRIES = "message_pk long, period_key string, eligible int, category_code string, category_title string, category_emoji string, short_title string, confidence string, provider string, manual_title string, manual_category string, excluded_reason string"
 PUBLICATIONS = "period_key string, destination string, part_no int, telegram_message_id long, rendered_html string, sent_at string"
-REPLY = "struct<categories:array<variant>,entries:array<variant>>"
+EDITIONS = "period_key string, destination string, edition string, version long, part_no int, total int, html string"
+#: Of a version: where each table's rows of a period are.
+MANIFEST = "table_name string, period_key string, folder string, rows long, top long"

@@ -112,6 +112,16 @@ def test_store_keeps_shared_passages_once():
     assert sum(kept.values()) < 0.8 * total
 
 
+def test_similarity_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda a, b: " ".join(words[a:b])
+    bridge = [(1, text(0, 40)), (2, text(10, 50)), (None, text(5, 45)), (None, "q r s t u v"), (None, "q r s t u v"), (None, "z y x w v u"), (None, None), (7, "z y x w v u")]
+    rows = [r[1:] for r in sorted((repr(x), x["doc_id"], x["component_id"]) for x in similarity.near_duplicates(spark.createDataFrame(bridge, "doc_id long, text string")).collect())]
+    assert sorted(map(repr, rows)) == sorted(map(repr, [(1, 1), (2, 1), (None, 1), (None, None), (None, None), (None, 7), (7, 7), (None, None)]))
+    whole = similarity.near_duplicates(spark.createDataFrame([(i if i else 3, t) for i, t in bridge[:3]], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in whole} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_similarity(docs, none):
     got = similarity.near_duplicates(docs).collect()
     by = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}

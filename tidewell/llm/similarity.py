@@ -23,8 +23,9 @@ quarter of its set, which is in proportion to the input.
 Sets are 64-bit hashes of shingles, and equal hashes are taken for equal shingles.
 
 Defined cases: a null text or one without words has size 0, links with nothing and is its own component; repeated rows
-share a component, and so may rows of one doc_id with other texts; a null doc_id gets the component of its class's smallest id, null if it has none; an empty table
-gives no rows; other columns are ignored.
+share a component, and so may rows of one doc_id with other texts; rows with a null doc_id link like all others, and get a
+null component only where none of its rows has an id; ids are whole numbers below 2^62, and other ids are an error; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ WORDS, PERCENT = 5, 75
 FINE, LEAST_FINE, COARSE, STRIPE = 1 << 27, 1 << 16, 1 << 20, 1 << 15
 #: Rows of a few numbers, at some 64 bytes each in a task's table, that may be sent to every task.
 MAX_SENT = 500_000
+#: Ids from here on stand for rows that have none.
+NAMELESS = 1 << 62
 #: Digests of sets that a task remembers as sent.
 REMEMBERED = 200_000
 #: Pairs left to compare across components, for each row of shared shingles, at which all are compared; the share of them
@@ -406,7 +409,6 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """Classes with their documents, (doc_id, n, first), and (node, label) of the classes that link with others; a class
     is named by its smallest doc_id."""
     each, sketch = classes(docs, id_column, text_column)
-    # the class of a null id alone has no name: no row of another document leads to it
     named = cut(each.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")), "named")
     members = each.join(named.withColumnRenamed("id", "first"), ["hi", "lo", "n"], "left").select("doc_id", "n", "first")
 
@@ -469,9 +471,16 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    members, labels = links(docs, id_column, text_column)
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    nameless = source.where("doc_id is null")
+    if not nameless.isEmpty():  # they get ids of their own, above all others, so that no component is called by one that has others
+        named = cut(nameless.select((F.lit(NAMELESS) + F.monotonically_increasing_id()).alias("doc_id"), "text"), "nameless")
+        source = source.where("doc_id is not null").union(named)
+    members, labels = links(source)
     out = members.join(labels, members["first"] == labels["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id"))
+    known = lambda x: F.when(x < NAMELESS, x)
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"))
 
 
 def op5_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

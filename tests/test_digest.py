@@ -1,5 +1,6 @@
 import io
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 from urllib.error import HTTPError
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.functions.period import canonical, month_bounds
 from tidewell.operators import edition as E
+from tidewell.operators import render as R
 from tidewell.operators.classify import cascade, reply_object
 from tidewell.operators.store import Conflict, Store, numbered
 from tidewell.plans import catalogue, digest
@@ -252,6 +254,54 @@ def test_live(spark, tmp_path):
     assert [(r["message_id"], r["words"], r["status"], r["edits"]) for r in rows] == [(1, "sold", "ready", 1), (2, None, "needs_review", 1)]
 
 
+def test_live_updates_reach_the_store(spark, tmp_path):
+    message = lambda n, day, **more: {"message_id": n, "chat": {"id": 1}, "date": 1756684800 + day * 86400, **more}  # noqa: E731  September 2025
+    deleted = lambda *ids: {"deleted_business_messages": {"chat": {"id": 1}, "message_ids": ids}}
+    batches = [
+        [{"update_id": 1, "message": message(1, 0, text="sofa")}, {"update_id": 2, "message": message(2, 1)}, {"update_id": 3, **deleted(4, 9)}, {"update_id": 4, "message": message(3, 40, text="bike")}],
+        [{"update_id": 5, "edited_message": message(1, 0, edit_date=1756900000, text="sofa, sold")}, {"update_id": 6, "message": message(4, 2, text="gone")}, {"update_id": 8, "edited_message": message(5, 3, edit_date=1756990000, text="late edit")}],
+        [{"update_id": 9, "edited_message": message(1, 0, edit_date=1756800000, text="an older edit")}, {"update_id": 10, **deleted(3)}, {"update_id": 7, "message": message(5, 3, text="before its edit")}, {"update_id": 11, "edited_message": message(2, 1, edit_date=1756900000, caption="a caption")}],
+    ]
+    kind = f"{live.UPDATE}, {live.DELETION}"
+    read = lambda rows: live.changes(spark.createDataFrame([(json.dumps(x),) for x in rows], "j string").select(F.from_json("j", kind).alias("x")).select("x.*"))
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    for k, rows in enumerate(batches):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        live.follow(spark, str(folder), store, "u", str(tmp_path / "at"), until_empty=True).awaitTermination()
+        if k == 0:  # what a classifier says of a text goes when the text changes
+            some = store.read("entries", "2025-09").withColumns({"short_title": F.lit("old"), "manual_title": F.lit("mine")})
+            store.commit(store.version(), {("entries", "2025-09"): some})
+    assert store.mark("live") == 2
+    version = store.version()
+    assert not live.upsert(store, read(batches[0]), "u", "live", 2) and store.version() == version  # a batch that is run again
+
+    def content(s):
+        m = {r["id"]: r for r in s.read("messages").collect()}
+        assert sorted(m) == list(range(1, len(m) + 1))
+        return {(m[r["message_pk"]]["message_id"], m[r["message_pk"]]["source_text"], r["period_key"], r["excluded_reason"]) for r in s.read("entries").collect()}
+
+    assert content(store) == {(1, "sofa, sold", "2025-09", None), (2, "a caption", "2025-09", None), (3, "bike", "2025-10", "deleted"), (4, "gone", "2025-09", "deleted"), (5, "late edit", "2025-09", None)}
+    titles = {r["message_pk"]: (r["short_title"], r["manual_title"]) for r in store.read("entries", "2025-09").collect()}
+    assert titles[1] == (None, "mine") and [r["message_id"] for r in store.read("states", "").collect()] == [9]
+    again = Store(spark, str(tmp_path / "again"))
+    assert live.upsert(again, read([x for rows in batches[::-1] for x in rows]), "u") and content(again) == content(store)
+    live.upsert(again, read(batches[0]), "u")  # and some of it once more
+    assert content(again) == content(store) and again.read("states").count() == store.read("states").count()
+
+
+def test_packing_by_pointer_doubling(spark):
+    rng, rows = random.Random(4), []
+    for k in range(6):
+        sizes = [[5] * 40, [20, 1, 19, 21, 22, 23, 1, 1], [rng.randint(1, 30) for _ in range(200)], [50] * 9, [1], [rng.choice([1, 2, 19, 20]) for _ in range(300)]][k]
+        rows += [(f"p{k}", 3 * n, chr(97 + n % 26) * size) for n, size in enumerate(sizes)]
+    blocks = spark.createDataFrame(rows, "period_key string, ord int, block string").repartition(3)
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    for limit in (20, 22, 64):
+        assert listed(R.doubled(blocks, limit)) == listed(R.folded(blocks, limit))
+    assert R.doubled(blocks.where("false"), 20).count() == 0
+
+
 def test_edition(spark):
     assert [one(spark, E.shortened(F.lit(x), 5)) for x in ("ab cd", "ab cde", "abcdef", "abcde f")] == ["ab cd", "ab", "abcde", "abcde"]
     assert one(spark, E.worded(F.lit(" \u3000"), F.lit("a\u00a0 b"))) == "a b"

@@ -293,6 +293,18 @@ def live_messages(spark, sf_dir):
     return live.latest(live.captured(_updates(spark, sf_dir))).select("chat_id", "message_id", "words", "status", "edits")
 
 
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(to_timestamp(1700000000 + o_orderkey) AT TIME ZONE 'UTC', '%Y-%m') END AS period_key, (o_custkey % 50)::VARCHAR AS chat_id, o_orderkey AS message_id,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN 'now ' || o_orderstatus WHEN o_orderkey % 10 = 0 THEN 'on it' WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS words, o_orderkey % 7 = 0 OR o_orderkey % 9 = 0 AS deleted FROM orders""")
+def live_states(spark, sf_dir):
+    """The states of live updates that come in two batches, edits and deletions first; every seventh message never comes."""
+    rows = _updates(spark, sf_dir).where("coalesce(message.message_id, edited_message.message_id) % 7 != 0").withColumn("deleted_business_messages", F.lit(None).cast(live.DELETION.partition(" ")[2]))
+    o = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0 or o_orderkey % 9 = 0")
+    gone = o.select((F.col("o_orderkey") * 2 + 10**9).alias("update_id"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("message", "edited_message")], F.struct(F.struct((F.col("o_custkey") % 50).alias("id")).alias("chat"), F.array("o_orderkey").alias("message_ids")).alias("deleted_business_messages"))
+    first = live.states(live.changes(rows.where("edited_message is not null").union(gone)))
+    second = live.states(live.changes(rows.where("message is not null")))
+    return live.states(first.union(second).union(first)).select("period_key", "chat_id", "message_id", "words", "deleted")
+
+
 @query(f"WITH {CHATS} SELECT chat_id, before + 1 AS first_missing, message_id - 1 AS last_missing FROM (SELECT chat_id, message_id, lag(message_id) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM chats) WHERE message_id - before > 1")
 def missing_messages(spark, sf_dir):
     return E.gaps(_chats(spark, sf_dir), 1 << 10)

@@ -1,4 +1,4 @@
-"""One JSON line: seconds of the headline queries, each the median of three runs after a warm-up."""
+"""One JSON line: seconds of the headline queries, each the median of five runs after a warm-up."""
 
 import json
 import os
@@ -20,7 +20,7 @@ def main() -> None:
     took = {}
     for name in NAMES:
         runs = []
-        for _ in range(4):
+        for _ in range(6):
             t = time.time()
             catalogue.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - t)

@@ -65,12 +65,14 @@ def doubled(rows: DataFrame, limit: int, gap: str = "\n\n") -> DataFrame:
     return texts.join(totals, "period_key").select("period_key", "part_no", "total", F.array_join(F.transform("x", lambda x: x["block"]), gap).alias("body"))
 
 
-def parts(rows: DataFrame, limit: int = T.LIMIT, brand: str = "обЪявления") -> DataFrame:
-    """period_key, part_no, total, html. Where a period has many blocks no row holds all of them."""
-    most = rows.groupBy("period_key").count().agg(F.max("count")).collect()[0][0] or 0
+def parts(rows: DataFrame, limit: int = T.LIMIT, brand: str = "обЪявления", most: int | None = None) -> DataFrame:
+    """period_key, part_no, total, html. Where a period has many blocks no row holds all of them. ``most``: how many blocks a
+    period has at most, if that is known; else they are counted where it may be too many."""
+    if most is None or most > FOLD_BLOCKS:
+        most = rows.groupBy("period_key").count().agg(F.max("count")).collect()[0][0] or 0
     each = folded(rows, limit) if most <= FOLD_BLOCKS else doubled(rows, limit)
     return each.select("period_key", "part_no", "total", T.envelope(F.col("body"), F.col("period_key"), F.col("part_no"), F.col("total"), brand).alias("html"))
 
 
-def digest(entries: DataFrame, messages: DataFrame, limit: int = T.LIMIT, brand: str = "обЪявления") -> DataFrame:
-    return parts(blocks(lines(entries, messages)), limit, brand)
+def digest(entries: DataFrame, messages: DataFrame, limit: int = T.LIMIT, brand: str = "обЪявления", most: int | None = None) -> DataFrame:
+    return parts(blocks(lines(entries, messages)), limit, brand, most)

@@ -80,7 +80,8 @@ def classify(spark: SparkSession, store: Store, period: str, providers: dict[str
 
 def rendered(store: Store, period: str, brand: str, version: int) -> DataFrame:
     """period_key, part_no, total, html of a period as of a version."""
-    return R.digest(store.read("entries", period, version), store.read("messages", period, version), T.LIMIT, brand)
+    most = sum(r["rows"] for r in store.manifest(version) if (r["table_name"], r["period_key"]) == ("entries", period))
+    return R.digest(store.read("entries", period, version), store.read("messages", period, version), T.LIMIT, brand, most)
 
 
 def render(store: Store, period: str, brand: str = "обЪявления") -> list[str]:

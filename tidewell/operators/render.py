@@ -24,7 +24,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 #: Blocks of a period up to which an array of them is folded in one row.
-FOLD_BLOCKS = 2000
+FOLD_BLOCKS = 5000
 
 
 def folded(rows: DataFrame, limit: int) -> DataFrame:

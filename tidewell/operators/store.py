@@ -6,7 +6,7 @@ import time
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -30,18 +30,23 @@ def absent(rows: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(target.select(*keys), keys, "left_anti")
 
 
+def cell_of(rows: DataFrame, order: str, cell_rows: int = CELL_ROWS) -> tuple[Column, list]:
+    """The number of a row's cell, from 0 up: the range of a numeric column is cut into cells of some ``cell_rows`` rows at
+    approximate percentiles. And the bounds between cells, each the last value of its cell."""
+    n = rows.count()
+    cells = max(1, min(MOST_CELLS, -(-n // cell_rows)))
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)).collect()[0][0])) if cells > 1 else []
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0), bounds
+
+
 def numbered(rows: DataFrame, after: int, order: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Surrogate ids after the highest so far, in the order of a numeric column without nulls or ties.
 
-    The column's range is cut into cells of some ``cell_rows`` rows at approximate percentiles. Cells are counted, and each
+    Cells of some ``cell_rows`` rows are counted, and each
     numbers its rows after those of the cells before it. A cell's bounds are values of this call, so it holds the same rows
     whenever it is computed.
     """
-    n = rows.count()
-    cells = max(1, min(MOST_CELLS, -(-n // cell_rows)))
-    bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)).collect()[0][0])) if cells > 1 else []
-    # a bound is the last of its cell
-    cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    cell, bounds = cell_of(rows, order, cell_rows)
     celled = rows.withColumn("__cell", cell)
     held = {r["__cell"]: r["count"] for r in celled.groupBy("__cell").count().collect()} if bounds else {}
     before, at = [], after

@@ -13,6 +13,9 @@ from ..functions import text as T
 from ..functions.period import in_month, in_zoned_month
 from ..operators import classify as C
 from ..operators import edition as E
+from ..operators import layout
+from ..operators import merging as G
+from ..operators import moderation as M
 from ..operators import render as R
 from ..operators import store as S
 from ..streaming import live
@@ -374,3 +377,95 @@ SELECT period_key, ord::INT AS ord, piece, any_value(emoji) || ' <b>' || {ESCAPE
 def split_blocks(spark, sf_dir):
     """Blocks of all months, split where they pass 400 code points."""
     return E.split_blocks(digest_lines(spark, sf_dir), SPLIT)
+
+
+#: Orders' lines as actions on the orders' entries (SQL): some lines set a field, others undo or redo the set of a line.
+ACTIONS = """log AS (SELECT l_orderkey * 10 + l_linenumber AS action_id, l_shipdate AS happened, CASE WHEN l_linenumber IN (4, 6) THEN 'undo' WHEN l_linenumber = 5 THEN 'redo' ELSE 'set' END AS kind, l_orderkey,
+ CASE l_returnflag WHEN 'A' THEN 'manual_title' WHEN 'N' THEN 'excluded_reason' ELSE 'manual_category' END AS field, CASE WHEN l_quantity > 5 THEN 'v' || l_partkey END AS value, l_orderkey * 10 + 1 + l_orderkey % 3 AS target
+ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-01-01')"""
+
+
+def _actions(spark, sf_dir) -> DataFrame:
+    """As ``ACTIONS`` says, of all instants, and each twice."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    kind = F.when(line.isin(4, 6), "undo").when(line == 5, "redo").otherwise("set")
+    field = F.when(F.col("l_returnflag") == "A", "manual_title").when(F.col("l_returnflag") == "N", "excluded_reason").otherwise("manual_category")
+    value = F.when(F.col("l_quantity") > 5, F.concat(F.lit("v"), "l_partkey"))
+    lines = read(spark, sf_dir, "lineitem").select((key * 10 + line).alias("action_id"), F.col("l_shipdate").alias("at"), kind.alias("kind"), key.alias("message_pk"), field.alias("field"), value.alias("value"), (key * 10 + 1 + key % 3).alias("target"))
+    months = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_pk"), F.date_format("o_orderdate", "yyyy-MM").alias("period_key"))
+    rows = lines.join(months, "message_pk")
+    return rows.union(rows)
+
+
+@query(f"""WITH {ACTIONS}, stood AS (SELECT * FROM log s WHERE kind = 'set' AND coalesce((SELECT arg_max(kind, (t.happened, t.action_id)) FROM log t WHERE t.kind <> 'set' AND t.target = s.action_id AND (t.happened, t.action_id) > (s.happened, s.action_id)), 'redo') = 'redo'),
+ newest AS (SELECT l_orderkey, field, value FROM stood QUALIFY row_number() OVER (PARTITION BY l_orderkey, field ORDER BY happened DESC, action_id DESC, value DESC NULLS LAST) = 1),
+ own AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'by <hand>' END AS manual_title, CASE WHEN o_orderkey % 13 = 4 THEN 'Своё' END AS manual_category, CASE WHEN o_orderkey % 11 = 5 THEN 'spam' END AS excluded_reason FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey AS message_pk, CASE WHEN a.field IS NULL THEN manual_title ELSE a.value END AS manual_title, CASE WHEN b.field IS NULL THEN manual_category ELSE b.value END AS manual_category,
+ CASE WHEN c.field IS NULL THEN excluded_reason ELSE c.value END AS excluded_reason FROM own
+ LEFT JOIN newest a ON a.l_orderkey = o_orderkey AND a.field = 'manual_title' LEFT JOIN newest b ON b.l_orderkey = o_orderkey AND b.field = 'manual_category' LEFT JOIN newest c ON c.l_orderkey = o_orderkey AND c.field = 'excluded_reason'""")
+def admin_edits(spark, sf_dir):
+    """Fields set by hand as of the beginning of 1998."""
+    return M.acted(entries(spark, sf_dir), _actions(spark, sf_dir), "1998-01-01").select("message_pk", *M.FIELDS)
+
+
+MODERATED = """ev AS (SELECT user_id AS message_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'accept' WHEN 'view' THEN 'reject' WHEN 'click' THEN 'exclude' WHEN 'purchase' THEN 'restore' WHEN 'error' THEN CASE WHEN value > 200 THEN 'delete' ELSE 'error' END END AS event FROM events),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY seq) AS n FROM ev),
+ steps AS (SELECT message_id, 0::BIGINT AS seq, ''::VARCHAR AS event, 0::BIGINT AS n, 'pending' AS before, 'pending' AS after FROM (SELECT DISTINCT message_id FROM ev)
+  UNION ALL SELECT e.message_id, e.seq, e.event, e.n, s.after, CASE
+   WHEN e.event = 'accept' AND s.after IN ('pending', 'rejected') THEN 'accepted' WHEN e.event = 'reject' AND s.after IN ('pending', 'accepted') THEN 'rejected'
+   WHEN e.event = 'exclude' AND s.after = 'accepted' THEN 'excluded' WHEN e.event = 'restore' AND s.after = 'excluded' THEN 'accepted' WHEN e.event = 'delete' THEN 'deleted' ELSE s.after END
+  FROM steps s JOIN numbered e ON e.message_id = s.message_id AND e.n = s.n + 1)"""
+
+
+def _moderated(spark, sf_dir) -> DataFrame:
+    """Events as decisions about messages, one for each user."""
+    kinds = {"signup": "accept", "view": "reject", "click": "exclude", "purchase": "restore"}
+    kind = F.when((F.col("event_type") == "error") & (F.col("value") > 200), "delete").when(F.col("event_type") == "error", "error")
+    for a, b in kinds.items():
+        kind = kind.when(F.col("event_type") == a, b)
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), kind.alias("event"))
+
+
+@query(f"WITH RECURSIVE {MODERATED} SELECT message_id, seq, event, before, after, before <> after AS legal FROM steps WHERE n > 0")
+def moderation_steps(spark, sf_dir):
+    return M.steps(_moderated(spark, sf_dir), 1 << 12)
+
+
+@query(f"""WITH RECURSIVE {MODERATED}, last AS (SELECT message_id, arg_max(after, n) AS state FROM steps GROUP BY message_id)
+SELECT c_custkey AS message_id, coalesce(state, 'pending') AS state, CASE WHEN coalesce(state, 'pending') <> 'accepted' THEN coalesce(state, 'pending') WHEN c_custkey % 3 = 0 THEN 'link' END AS refused FROM customer LEFT JOIN last ON message_id = c_custkey""")
+def eligible_messages(spark, sf_dir):
+    """Customers as messages; every third has a link to a group alone."""
+    key = F.col("c_custkey")
+    url = F.when(key % 3 == 0, "https://t.me/market").otherwise(T.source_url("market", key))
+    rows = read(spark, sf_dir, "customer").select(key.alias("message_id"), url.alias("source_url"))
+    return M.eligible(rows, M.steps(_moderated(spark, sf_dir), 1 << 12)).select("message_id", "state", "refused")
+
+
+def merged_categories(spark, sf_dir):
+    """Documents as entries of a language's edition, in categories of up to three; no SQL, as rounds go on until none is small."""
+    found = E.by_rule(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("text").alias("source_text")))
+    named = F.concat(F.col("source"), F.lit("/"), F.expr("doc_id div 3"))
+    return G.merged(found.select(F.col("lang").alias("period_key"), named.alias("category"), "title"))
+
+
+QUERIES["merged_categories"] = merged_categories
+PAGE = 500
+_FOOT = layout.footer("обЪявления", "https://t.me/").replace("\n", "' || chr(10) || '")
+_HEAD = "CASE WHEN {part} = 1 THEN '📚 <b>обЪявления</b>' || chr(10) || 'Главное за ' || month || ' · Часть ' ELSE '📚 <b>обЪявления</b> · ' || month || chr(10) || 'Часть ' END || {part} || ' из ' || {total} || chr(10) || chr(10)"
+_FITS = f"p.used + 2 + c.size <= {PAGE} - length({_HEAD.format(part='p.part', total=chr(39) * 2)}) - c.digits"
+
+
+@query(ORACLE_SQL["split_blocks"].replace("\nSELECT period_key, ord::INT AS ord", ",\ns AS (SELECT period_key, ord").rstrip() + f"""),
+ b AS (SELECT period_key, block, row_number() OVER (PARTITION BY period_key ORDER BY ord, piece) AS n, count(*) OVER (PARTITION BY period_key) AS blocks,
+  list_extract({list(layout.MONTHS)}, substring(period_key, 6, 2)::INT) || ' ' || substring(period_key, 1, 4) AS month FROM s),
+ c AS (SELECT *, length(block) + CASE WHEN n = blocks THEN length('{_FOOT}') ELSE 0 END AS size, unnest(range(1, length(blocks::VARCHAR) + 1)) AS digits FROM b),
+ p AS (SELECT period_key, digits, n, block, month, 1 AS part, size AS used FROM c WHERE n = 1
+  UNION ALL SELECT c.period_key, c.digits, c.n, c.block, c.month, CASE WHEN {_FITS.replace("month", "c.month")} THEN p.part ELSE p.part + 1 END, CASE WHEN {_FITS.replace("month", "c.month")} THEN p.used + 2 + c.size ELSE c.size END
+  FROM p JOIN c ON c.period_key = p.period_key AND c.digits = p.digits AND c.n = p.n + 1),
+ least AS (SELECT period_key, digits, parts FROM (SELECT period_key, digits, max(part) AS parts FROM p GROUP BY period_key, digits) WHERE length(parts::VARCHAR) <= digits QUALIFY row_number() OVER (PARTITION BY period_key ORDER BY digits) = 1),
+ whole AS (SELECT period_key, part AS part_no, any_value(parts) AS total, any_value(month) AS month, string_agg(block, chr(10) || chr(10) ORDER BY n) AS body FROM p JOIN least USING (period_key, digits) GROUP BY period_key, part)
+SELECT period_key, part_no, total, {_HEAD.format(part="part_no", total="total")} || body || CASE WHEN part_no = total THEN '{_FOOT}' ELSE '' END AS html FROM whole""")
+def edition_pages(spark, sf_dir):
+    """Split blocks of all months in parts of 500 code points, headers and footers included."""
+    rows = split_blocks(spark, sf_dir)
+    return layout.paged(rows.select("period_key", F.struct("ord", "piece").alias("ord"), "block"), PAGE)

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime
 
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.operators import edition as E
 from tidewell.operators import layout, merging, moderation
-from tidewell.plans import catalogue
+from tidewell.operators.store import Store
+from tidewell.plans import catalogue, digest
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,3 +148,65 @@ def test_headers_and_the_number_of_parts_fit(spark):
     assert got == want and {9, 10, 11, 99, 100, 101} <= totals
     assert layout.paged(df.where("false")).count() == 0
     assert T.LIMIT == 3700
+
+
+def _stored(spark, tmp_path, texts):
+    store = Store(spark, str(tmp_path / "store"))
+    path = tmp_path / "export.json"
+    path.write_text(json.dumps({"messages": [{"type": "message", "id": i, "date": "2026-09-02T00:00:00", "text": t} for i, t in texts]}))
+    digest.import_export(spark, store, str(path), "2026-09", "c", "u")
+    return store
+
+
+def test_edits_by_hand_reach_the_next_edition(spark, tmp_path):
+    store = _stored(spark, tmp_path, [(1, "sofa"), (2, "rent")])
+    first = digest.act(store, "2026-09", "ann", "set", 1, "manual_title", "A sofa")
+    digest.act(store, "2026-09", "ann", "set", 2, "excluded_reason", "spam")
+    second = digest.act(store, "2026-9", "bo", "set", 1, "manual_title", "Two sofas")
+    asked = []
+    with pytest.raises(RuntimeError):
+        digest.classify(spark, store, "2026-09", {"a": lambda text: asked.append(text) or "{}"})
+    assert "rent" in asked[0] and "sofa" not in asked[0]
+    part = lambda: digest.render(store, "2026-09")[0]
+    assert "Two sofas" in part() and "/2\"" not in part()
+    pinned = digest.pinned(store, "2026-09", "here")[0]["html"]
+    digest.act(store, "2026-09", "bo", "undo", target=second)
+    assert "A sofa" in part() and "Two sofas" in pinned
+    digest.act(store, "2026-09", "bo", "redo", target=second)
+    assert "Two sofas" in part()
+    digest.act(store, "2026-09", "bo", "undo", target=second)
+    digest.act(store, "2026-09", "bo", "undo", target=first)
+    assert "sofa" not in part() and digest.pinned(store, "2026-09", "here")[0]["html"] == pinned
+    before = store.version()
+    for bad in (("set", 9, "manual_title"), ("set", 1, "provider"), ("undo", None, None, None, 99), ("drop", 1)):
+        with pytest.raises(ValueError):
+            digest.act(store, "2026-09", "bo", *bad)
+    assert store.version() == before
+    assert store.read("entries", "2026-09").where("manual_title is not null").isEmpty()  # the log is beside the entries
+
+
+def test_classification_by_rules(spark, tmp_path):
+    store = _stored(spark, tmp_path, [(1, "sofa  blue"), (2, "rent a flat by the sea in the old town"), (3, "sofa blue"), (4, "flat"), (5, "bed")])
+
+    def answers(text):
+        rows = json.loads(text.splitlines()[-1])
+        asked.append([r["id"] for r in rows])
+        return json.dumps({"categories": [{"code": c, "title": c.upper()} for c in "hsb"], "entries": [{"id": r["id"], "include": True, "category": {"r": "h", "f": "h", "b": "b"}.get(r["text"][0], "s"), "title": r["text"]} for r in rows]})
+
+    asked = []
+    assert digest.classify_by_rules(spark, store, "2026-09", {"a": lambda text: "no"}) == "rules" and store.read("results").isEmpty()
+    titles = lambda c="short_title": {r["message_pk"]: r[c] for r in store.read("entries", "2026-09").collect()}
+    assert titles() == {1: "sofa blue", 2: "rent a flat by the sea in the old", 3: "sofa blue", 4: "flat", 5: "bed"} and set(titles("category_title").values()) == {T.NO_CATEGORY}
+    assert digest.classify_by_rules(spark, store, "2026-09", {"a": answers}) == "a"
+    assert asked == [[1, 2, 4, 5]]  # one of two like texts
+    # all three categories are small; none shares a word with another, so they go into the first of the largest
+    assert set(titles("category_code").values()) == {"h"} and set(titles("category_title").values()) == {"H"}
+    assert {r["category"] for r in store.read("results").collect()} == {"h", "s", "b"}
+    assert digest.classify_by_rules(spark, store, "2026-09", {"a": answers}) == "cache" and len(asked) == 1
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps({"messages": [{"type": "message", "id": i, "date": "2026-09-03T00:00:00", "text": t} for i, t in [(6, "bed"), (7, "lamp")]]}))
+    digest.import_export(spark, store, str(path), "2026-09", "c", "u")
+    assert digest.classify_by_rules(spark, store, "2026-09", {"a": answers}) == "a" and asked[1] == [7]
+    assert titles()[6] == "bed" and titles()[7] == "lamp"
+    parts = digest.render(store, "2026-09", "b", "https://t.me/u")
+    assert len(parts) == 1 and parts[0].startswith("📚 <b>b</b>\nГлавное за сентябрь 2026 · Часть 1 из 1\n\n") and parts[0].endswith('<a href="https://t.me/u">b</a></b>')

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 GAP = "\n\n"
+#: Code points kept free for a header and a footer where blocks are split to fit a part.
+OVERHEAD = 500
 #: Names of months (fixed values).
 MONTHS = ("январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь")
 

@@ -62,7 +62,7 @@ class Conflict(OSError):
 
 
 class Store:
-    """Versions of the tables ``messages``, ``entries``, ``editions`` and ``states``.
+    """Versions of the tables ``messages``, ``entries``, ``actions``, ``results``, ``editions`` and ``states``.
 
     A version is a manifest: for each table and period the folder that holds its rows. Folders are never changed. A commit
     writes new folders for the periods that it changes, then the manifest that names them and all others, and takes the next version's

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,7 +15,11 @@ from ..functions import text as T
 from ..functions.period import canonical
 from ..operators import classify as C
 from ..operators import render as R
-from ..operators.edition import unsent
+from ..operators import layout
+from ..operators.edition import by_rule, split_blocks, text_hash, unsent
+from ..operators.lineage import cut
+from ..operators.merging import merged
+from ..operators.moderation import FIELDS, acted
 from ..operators.store import Conflict, Store, absent, first_by, numbered
 from ..sources import export
 
@@ -69,7 +74,7 @@ def classify(spark: SparkSession, store: Store, period: str, providers: dict[str
     """Classify a period's entries; the provider's name. A rejected reply changes nothing."""
     period, base = canonical(period), store.version()
     known = store.read("entries", period, base)
-    asked = C.requests(store.read("messages", period, base), known, period).cache()
+    asked = C.requests(store.read("messages", period, base), standing(store, period, base), period).cache()
     rows = [r.asDict() for r in asked.collect()]  # one request holds them all
     if not rows:
         return "nothing to classify"
@@ -78,18 +83,88 @@ def classify(spark: SparkSession, store: Store, period: str, providers: dict[str
     return name
 
 
-def rendered(store: Store, period: str, brand: str, version: int) -> DataFrame:
-    """period_key, part_no, total, html of a period as of a version."""
+def classify_by_rules(spark: SparkSession, store: Store, period: str, providers: dict[str, Callable[[str], str]], place: str = "") -> str:
+    """As :func:`classify`, with the documents' rules: a text that the month has a result for, by its hash, is not asked for again; where
+    no provider gives a valid reply, entries get titles by rule, which are not kept as results, and the rest goes on; small
+    categories are merged into the nearest. The provider's name, ``cache`` if nothing was asked, or ``rules``."""
+    period, base = canonical(period), store.version()
+    messages, known, results = store.read("messages", period, base), store.read("entries", period, base), store.read("results", period, base)
+    texts = messages.select("id", "source_text", text_hash(F.col("source_text")).alias("text_hash"))
+    asked = C.requests(messages, standing(store, period, base), period).join(texts.select("id", "text_hash"), "id").cache()
+    if asked.isEmpty():
+        return "nothing to classify"
+    fresh = asked.join(results.select("text_hash"), "text_hash", "left_anti").select("id", "text", "text_hash")
+    columns = [x.split()[0] for x in schema.RESULTS.split(", ")][2:]
+    name, found = "cache", results.select("text_hash", *columns)
+    # one request for each text; it holds them all
+    one = cut(fresh.groupBy("text_hash").agg(F.min_by(F.struct("id", "text"), "id").alias("x")).select("x.*", "text_hash"))
+    rows = [r.asDict() for r in one.select("id", "text").orderBy("id").collect()]
+    if rows:
+        try:
+            name, new = C.cascade(spark, one, providers, prompt(rows, place))
+            new = new.join(one.select("id", "text_hash"), "id")
+        except RuntimeError:
+            name, ruled = "rules", by_rule(one.select("id", "text_hash").join(texts.select("id", "source_text"), "id"))
+            emoji = {"category_title": F.lit(T.NO_CATEGORY), "category_emoji": F.lit(T.NO_EMOJI), "confidence": F.lit("low")}
+            new = ruled.withColumns({**emoji, "eligible": F.col("title").isNotNull().cast("int")})
+        new = cut(new.withColumn("provider", F.lit(name)).select("text_hash", *columns))
+        found = found.union(new)
+    of_entries = cut(asked.select("id", "text_hash").join(found, "text_hash"))
+    # only shown entries make a category large; its title and emoji come with the category that it is merged into
+    shown = of_entries.where("eligible = 1")
+    moved = merged(shown.select(F.lit(period).alias("period_key"), "category", "title")).where("merged != category").select("category", F.col("merged").alias("to"))
+    looks = shown.groupBy(F.col("category").alias("to")).agg(F.min(F.struct("category_title", "category_emoji")).alias("look"))
+    final = of_entries.join(moved.join(looks, "to"), "category", "left")
+    final = final.withColumns({"category_title": F.when(F.col("to").isNull(), F.col("category_title")).otherwise(F.col("look.category_title")), "category_emoji": F.when(F.col("to").isNull(), F.col("category_emoji")).otherwise(F.col("look.category_emoji")), "category": F.coalesce("to", "category")})
+    changes = {("entries", period): C.updated(known, final, period, name)}
+    if rows and name != "rules":
+        changes["results", period] = results.union(new.select(F.lit(period).alias("period_key"), "text_hash", *columns))
+    store.commit(base, changes)
+    asked.unpersist()
+    return name
+
+
+def standing(store: Store, period: str, version: int) -> DataFrame:
+    """A period's entries with what was set by hand, as of a version."""
+    entries = store.read("entries", period, version)
+    if not any((r["table_name"], r["period_key"]) == ("actions", period) for r in store.manifest(version)):
+        return entries
+    return acted(entries, store.read("actions", period, version))
+
+
+def act(store: Store, period: str, actor: str, kind: str, message_pk: int | None = None, field: str | None = None, value: str | None = None, target: int | None = None) -> int:
+    """Add an action to a period's log: ``set`` a field of an entry, ``undo`` or ``redo`` an earlier set; the action's number,
+    which is the version that it makes. Two writers at once: one gets a Conflict and nothing of its is kept."""
+    period, base = canonical(period), store.version()
+    known = store.read("actions", period, base)
+    if kind == "set":
+        found = field in FIELDS and not store.read("entries", period, base).where(F.col("message_pk") == message_pk).isEmpty()
+    else:
+        found = kind in ("undo", "redo") and not known.where((F.col("kind") == "set") & (F.col("action_id") == target)).isEmpty()
+    if not found:
+        raise ValueError(f"no such entry, field or action in {period}")
+    row = (base + 1, datetime.now(UTC), actor, kind, period, message_pk, field, value, target)
+    return store.commit(base, {("actions", period): known.union(store.spark.createDataFrame([row], schema.ACTIONS))})
+
+
+def rendered(store: Store, period: str, brand: str, version: int, paged: str = "") -> DataFrame:
+    """period_key, part_no, total, html of a period as of a version. ``paged``: a link to the group; blocks over the limit are
+    then split, and headers and footers, which have the link, count against it."""
+    if paged:
+        lines = R.lines(standing(store, period, version), store.read("messages", period, version))
+        room = T.LIMIT - layout.OVERHEAD
+        blocks = split_blocks(lines, room).select("period_key", F.struct("ord", "piece").alias("ord"), "block")
+        return layout.paged(blocks, T.LIMIT, brand, paged)
     most = sum(r["rows"] for r in store.manifest(version) if (r["table_name"], r["period_key"]) == ("entries", period))
-    return R.digest(store.read("entries", period, version), store.read("messages", period, version), T.LIMIT, brand, most)
+    return R.digest(standing(store, period, version), store.read("messages", period, version), T.LIMIT, brand, most)
 
 
-def render(store: Store, period: str, brand: str = "обЪявления") -> list[str]:
+def render(store: Store, period: str, brand: str = "обЪявления", paged: str = "") -> list[str]:
     """The parts of a period, in order."""
-    return [r["html"] for r in rendered(store, canonical(period), brand, store.version()).orderBy("part_no").collect()]
+    return [r["html"] for r in rendered(store, canonical(period), brand, store.version(), paged).orderBy("part_no").collect()]
 
 
-def pinned(store: Store, period: str, destination: str, brand: str = "обЪявления") -> list[Row]:
+def pinned(store: Store, period: str, destination: str, brand: str = "обЪявления", paged: str = "") -> list[Row]:
     """The parts of the period's edition for a destination, in order. The first call renders the store as it is and pins the
     edition: its parts, the version that they were read from, and a hash of all of them. Later calls return the same
     parts, whatever has been imported or classified since. Of two first calls at once one pins, the other gets its edition."""
@@ -103,7 +178,7 @@ def pinned(store: Store, period: str, destination: str, brand: str = "обЪяв
             if len(mine) != mine[0]["total"] or any(r["edition"] != edition_hash(texts) for r in mine):
                 raise ValueError(f"the pinned edition of {period} is damaged")
             return mine
-        parts = rendered(store, period, brand, base).orderBy("part_no").collect()
+        parts = rendered(store, period, brand, base, paged).orderBy("part_no").collect()
         if not parts:
             return []
         mark = edition_hash([r["html"] for r in parts])
@@ -130,14 +205,14 @@ def publish(parts: list[str], send: Callable[[str, str, str], object], token: st
         send(token, target, part)
 
 
-def publish_rest(store: Store, period: str, send: Callable[[str, str, str], dict], token: str, target: str, brand: str = "обЪявления") -> int:
+def publish_rest(store: Store, period: str, send: Callable[[str, str, str], dict], token: str, target: str, brand: str = "обЪявления", paged: str = "") -> int:
     """Send the parts of the pinned edition that the target has not got, in order, and log each with its message's id; how
     many were sent. After a failure the next run goes on with the part that failed, of the same edition. A logged part that
     is not the edition's is an error, and so is a reply without an id."""
     if not token or not target:
         raise SystemExit("a bot token and a target chat are needed")
     period = canonical(period)
-    parts = pinned(store, period, target, brand)
+    parts = pinned(store, period, target, brand, paged)
     if not parts:
         return 0
     listed = store.spark.createDataFrame([(r["period_key"], r["part_no"], r["html"]) for r in parts], "period_key string, part_no int, html string")

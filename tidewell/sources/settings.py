@@ -30,6 +30,8 @@ class Settings:
     openrouter_model: str
     brand: str
     place: str
+    rules: bool
+    group_link: str
 
 
 def settings(root: Path) -> Settings:
@@ -47,4 +49,6 @@ def settings(root: Path) -> Settings:
         openrouter_model=get("OPENROUTER_MODEL", "openrouter/free"),
         brand=get("DIGEST_BRAND", "обЪявления"),
         place=get("DIGEST_PLACE"),
+        rules=get("DIGEST_RULES") == "1",
+        group_link=get("DIGEST_GROUP_LINK"),
     )

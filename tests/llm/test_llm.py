@@ -157,13 +157,15 @@ def _nearest(rows, queries, k):
     return {(q, r, i, d) for q, found in near.items() for r, (d, i) in enumerate(sorted((d, i) for i, d in found.items())[:k], 1)}
 
 
-@pytest.mark.parametrize("case", ["distinct ids", "repeated ids", "few codes", "empty"])
+@pytest.mark.parametrize("case", ["distinct ids", "repeated ids", "one id with many codes", "shared by pairs", "few codes", "empty"])
 def test_hamming(spark, case):
     rng = np.random.default_rng(5)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 200)] + [7] * 60 + [7 ^ (1 << j) for j in range(20)]
     rows = {
         "distinct ids": [*enumerate(codes), (None, 1), (900, None), (7, codes[7])],
         "repeated ids": [(int(rng.integers(0, 90)), c) for c in codes],
+        "one id with many codes": [(11, c) for c in codes[:150]] + [(20, c ^ 1) for c in codes[:150]] + list(enumerate(codes)),
+        "shared by pairs": [(i, c) for c in codes[:40] for i in (11, 20)] + [(i, c) for i, c in zip(range(30, 50), codes, strict=False)] + list(enumerate(codes[150:], 60)),
         "few codes": [(5, c) for c in range(18)] + [(i, 3) for i in range(20, 60, 4)],
         "empty": [],
     }[case]
@@ -173,6 +175,13 @@ def test_hamming(spark, case):
     assert len(got) == len(set(got)) and set(got) == _nearest(rows, queries, 3)
 
 
+def test_an_id_with_many_codes_takes_one_place(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(63)) for i in range(50)] + [(7, rng.getrandbits(63)) for _ in range(300)]
+    codes, places = hamming._held_alike(spark.createDataFrame(rows, "id long, code long"), 10)
+    assert places == 11 and codes.select("held").distinct().count() == 50
+
+
 def test_sign_code(spark):
     rows = spark.createDataFrame([(1, [1.0, -1.0, 0.0, None, 2.0]), (2, []), (3, None), (4, [-1.0] * 63 + [1.0])], "id long, v array<double>")
     got = {r["id"]: r["c"] for r in rows.select("id", hamming.sign_code("v").alias("c")).collect()}

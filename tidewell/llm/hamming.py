@@ -80,19 +80,24 @@ def _probes(open_: DataFrame, parts: list[tuple[int, int]], radii: tuple[int, ..
 
 
 def _nearest_codes(codes: DataFrame, asked: DataFrame, places: int, bits: int, segments: int) -> DataFrame:
-    """(q, code, distance): the ``places`` codes nearest to each of the query codes ``asked`` (q), by distance and first id."""
+    """(q, code, distance): the ``places`` codes nearest to each of the query codes ``asked`` (q), by distance and first id. Where
+    ``codes`` has a ``held``, only the nearest code of each counts."""
+    kept = [c for c in ("held",) if c in codes.columns]
     parts = widths(bits, segments)
     values = F.array(*[F.struct(F.lit(i).alias("seg"), _value(F.col("code"), s, w).alias("value")) for i, (s, w) in enumerate(parts)])
-    index = cut(codes.select("code", "first", F.explode(values).alias("x")).select("x.seg", "x.value", "code", "first"), "index")
+    index = cut(codes.select("code", "first", *kept, F.explode(values).alias("x")).select("x.seg", "x.value", "code", "first", *kept), "index")
     open_, best = asked.withColumn("bound", F.lit(bits)), None
     order = F.row_number().over(Window.partitionBy("q").orderBy("distance", "first", "code"))
     for r in range(1, max(w for _, w in parts) + 1):
         probes = _probes(open_, parts, (0, 1) if r == 1 else (r,))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
         near = probes.hint("merge").join(index.hint("merge"), ["seg", "value"]).where(distance <= F.col("bound"))
-        near = near.select("q", "code", "first", distance.alias("distance"))
-        every = near if best is None else near.union(best)
-        old, best = best, cut(every.distinct().withColumn("rank", order).where(F.col("rank") <= places).drop("rank"), "best")
+        near = near.select("q", "code", "first", *kept, distance.alias("distance"))
+        every = (near if best is None else near.union(best)).distinct()
+        if kept:
+            nearest = F.row_number().over(Window.partitionBy("q", "held").orderBy("distance", "first", "code"))
+            every = every.withColumn("rank", nearest).where("rank = 1").drop("rank")
+        old, best = best, cut(every.withColumn("rank", order).where(F.col("rank") <= places).drop("rank"), "best")
         state = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
         state = asked.join(state, "q", "left").select("q", F.when(F.col("n") >= places, F.col("last")).otherwise(bits).alias("bound"))
         was, open_ = open_, cut(state.where(f"bound > {segments * (r + 1) - 1}"), "open")
@@ -103,15 +108,34 @@ def _nearest_codes(codes: DataFrame, asked: DataFrame, places: int, bits: int, s
     return best
 
 
+def _held_alike(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(code, first, held), ``held`` being one of the codes that have the same k + 1 smallest ids, and how many codes must be
+    found so that no id among the k + 1 nearest is missed.
+
+    Of codes with the same smallest ids the nearest tells all, so an id with many codes of its own takes one place, not one for
+    each code. A first id may still stand for several such groups; k + 1 times the most of them have k + 1 first ids.
+    """
+    smallest = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    ids = cut(rows.withColumn("at", smallest).where(F.col("at") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ids")
+    groups = ids.groupBy("ids").agg(F.min("code").alias("held"))
+    most = groups.groupBy(F.col("ids")[0]).count().agg(F.max("count")).collect()[0][0]
+    codes = cut(ids.join(groups, "ids").select("code", F.col("ids")[0].alias("first"), "held"), "codes")
+    spent(ids)
+    return codes, (k + 1) * most
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = BITS, segments: int | None = None) -> DataFrame:
     """The k nearest rows of each query, both given as (id, code): query_id, rank, id, distance."""
     rows = cut(rows.where("id is not null and code is not null").select("id", "code").distinct(), "rows")
     codes = cut(rows.groupBy("code").agg(F.min("id").alias("first")), "codes")
     n = codes.count()
     spread = rows.groupBy("id").count().agg(F.max("count")).collect()[0][0] or 1
+    places = k + 1
+    if spread > 1:
+        codes, places = _held_alike(rows, k)
     asked = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct(), "queries")
     sharers = cut(asked.groupBy("q").agg(F.ceil(F.count("*") / SHARERS).cast("int").alias("places")), "sharers")
-    best = _nearest_codes(codes, sharers.select("q"), (k + 1) * spread, bits, segments or segments_for(n, bits))
+    best = _nearest_codes(codes, sharers.select("q"), places, bits, segments or segments_for(n, bits))
 
     # the ids that can matter: of each code the k + 1 smallest, then of each query code the k + 1 nearest
     wanted = best.select("code").distinct()

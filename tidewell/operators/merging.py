@@ -28,7 +28,8 @@ def merged(entries: DataFrame, small: int = SMALL) -> DataFrame:
 
     Words meet their category's rank through one row a word, so no two categories are paired, and texts are read once.
     """
-    rows = entries.where("period_key is not null and category is not null").select("period_key", "category", _words(F.col("title")).alias("words"))
+    # written before it is exploded: a filter on the exploded words would be pushed below what makes the titles, and repeat it
+    rows = cut(entries.where("period_key is not null and category is not null").select("period_key", "category", _words(F.col("title")).alias("words")))
     sizes = cut(rows.groupBy("period_key", "category").agg(F.count("*").alias("n")))
     words = cut(rows.select("period_key", "category", F.explode("words").alias("word")).distinct())
     became = sizes.select("period_key", "category", F.col("category").alias("merged"))

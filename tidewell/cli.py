@@ -1,11 +1,12 @@
-"""python -m tidewell.cli import FILE --period P | classify --period P | preview --period P [--send] | publish --period P
+"""python -m tidewell.cli import FILE --period P | classify --period P | preview --period P [--send] | publish --period P | warnings --period P
 | set ENTRY FIELD [VALUE] --period P --actor A | undo ACTION --period P --actor A | redo ACTION --period P --actor A"""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.store import Store
 from .plans import digest
@@ -13,10 +14,16 @@ from .sources import remote
 from .sources.settings import settings
 
 
+def warn(rows: DataFrame) -> None:
+    """A line each, on standard error."""
+    for r in rows.orderBy("kind", "chat_id", "first_id").toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in r), file=sys.stderr)
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("import", "classify", "preview", "publish", "set", "undo", "redo"):
+    for name in ("import", "classify", "preview", "publish", "warnings", "set", "undo", "redo"):
         one = commands.add_parser(name)
         one.add_argument("--period", required=True)
         if name == "import":
@@ -33,11 +40,16 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("digest").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = Store(spark, s.store)
     if a.command == "import":
-        print(digest.import_export(spark, store, a.file, a.period, s.source_chat_id, s.source_username))
+        known = (spark, store, a.file, a.period, s.source_chat_id, s.source_username)
+        print(digest.import_by_rules(*known, s.zone) if s.rules else digest.import_export(*known))
     elif a.command == "classify":
         run = digest.classify_by_rules if s.rules else digest.classify
         print(run(spark, store, a.period, remote.providers(s), s.place))
+    elif a.command == "warnings":
+        warn(digest.warnings(store, a.period))
     elif a.command == "publish":
+        if s.rules:
+            warn(digest.warnings(store, a.period))
         digest.publish_rest(store, a.period, remote.send, s.bot_token, s.source_chat_id, s.brand, s.group_link)
     elif a.command == "set":
         print(digest.act(store, a.period, a.actor, "set", a.of, a.field, a.value))

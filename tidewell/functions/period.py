@@ -24,6 +24,12 @@ def in_month(column: Column, period: str) -> Column:
     return (column >= start) & (column < end)
 
 
+def in_month_of(column: Column, period: str, zone: str) -> Column:
+    """The month of a time zone, as a range on a column of instants."""
+    start, end = (F.lit(x.replace(tzinfo=ZoneInfo(zone))) for x in month_bounds(period))
+    return (column >= start) & (column < end)
+
+
 def in_zoned_month(column: Column, period: str, zone: str = "Europe/Madrid") -> Column:
     """The month of a time zone, as a range on a column of naive UTC instants; the bounds are converted, not the column."""
     start, end = (x.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ") for x in month_bounds(period))

@@ -6,14 +6,18 @@ null title or category equals another null when duplicates are looked for.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
 #: Lengths of a title with the arrow that follows it, or alone (fixed values).
 TARGET, PREFERRED, HARD = 30, 34, 42
 REVIEW, OTHER = "needs_review", "other"
+#: Why an entry is not shown, beside REVIEW: another entry stands for its album, or its message was deleted.
+ALBUM, DELETED = "album", "deleted"
 MORE = " — продолжение"
 
 
@@ -21,6 +25,12 @@ def prepared(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{T.SPACE}]+", " "))
 
 
+@F.pandas_udf(StringType())
+def normalised(text: pd.Series) -> pd.Series:
+    """In Unicode's composed form (NFC), for which Spark has no function."""
+    return text.str.normalize("NFC")
+
+
 def text_hash(text: Column) -> Column:
     return F.sha2(prepared(text), 256)
 
@@ -52,6 +62,34 @@ def albums(rows: DataFrame) -> DataFrame:
     return found.select("chat_id", F.col("first_id").alias("message_id"), "messages", "words", status(F.col("words")).alias("status"))
 
 
+def of_albums(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Of each message of an album that is not deleted: message_pk, whether it is the album's ``first`` one by message id, and
+    ``words``, the first text that the album has. Only messages with a ``media_group_id`` are shuffled."""
+    key = ["chat_id", "media_group_id"]
+    words = F.nullif(prepared(F.col("source_text")), F.lit(""))
+    alive = entries.where(~F.col("excluded_reason").eqNullSafe(DELETED)).select("message_pk")
+    rows = messages.where("media_group_id is not null").select(F.col("id").alias("message_pk"), "message_id", *key, words.alias("words")).join(alive, "message_pk")
+    text = F.min(F.when(F.col("words").isNotNull(), F.struct("message_id", "words")))
+    whole = rows.groupBy(*key).agg(F.min("message_id").alias("first_id"), text["words"].alias("words"))
+    return rows.drop("words").join(whole, key).select("message_pk", (F.col("message_id") == F.col("first_id")).alias("first"), "words")
+
+
+def by_album(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries of which one stands for an album: that of its first message that is not deleted, shown if the album has a text.
+    The others are not shown. Entries that are excluded for a reason of their own stay as they are."""
+    found = of_albums(messages, entries).select("message_pk", F.when(~F.col("first"), ALBUM).when(F.col("words").isNull(), REVIEW).alias("__why"), F.lit(True).alias("__album"))
+    free = F.col("excluded_reason").isNull() | F.col("excluded_reason").isin(ALBUM, REVIEW)
+    reason = F.when(F.col("__album") & free, F.col("__why")).otherwise(F.col("excluded_reason"))
+    return entries.join(found, "message_pk", "left").select(*[reason.alias(c) if c == "excluded_reason" else F.col(c) for c in entries.columns])
+
+
+def spoken(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Messages, the first of each album with the album's text."""
+    first = of_albums(messages, entries).where("first and words is not null").select(F.col("message_pk").alias("id"), F.col("words").alias("__words"))
+    text = F.coalesce("__words", "source_text")
+    return messages.join(first, "id", "left").select(*[text.alias(c) if c == "source_text" else F.col(c) for c in messages.columns])
+
+
 def uncached(rows: DataFrame, results: DataFrame) -> DataFrame:
     """Rows whose text no result is kept for; ``results`` has a ``text_hash``."""
     return rows.withColumn("text_hash", text_hash(F.col("source_text"))).join(results.select("text_hash"), "text_hash", "left_anti")
@@ -95,6 +133,25 @@ def gaps(rows: DataFrame, width: int = 1 << 16) -> DataFrame:
     return inside.unionByName(between).where("id - before > 1").select("chat_id", (F.col("before") + 1).alias("first_missing"), (F.col("id") - 1).alias("last_missing"))
 
 
+def warnings(entries: DataFrame, messages: DataFrame) -> DataFrame:
+    """What someone should look at before an edition goes out: kind, chat_id, first_id, last_id, title.
+
+    Of entries: ``needs_review`` (no text), and of shown ones ``no title``, ``long title`` (over the hard limit) and
+    ``same title`` (another shown entry of the month has the same title in the same category). Of messages: ``gap``, a run of
+    ids that are missing between others of a chat. Titles and categories set by hand count, empty ones do not.
+    """
+    title = F.nullif(T.first_filled(F.col("manual_title"), F.col("short_title"), F.lit("")), F.lit(""))
+    category = T.first_filled(F.col("manual_category"), F.col("category_title"), F.lit(T.NO_CATEGORY))
+    shown = (F.col("eligible") == 1) & F.col("excluded_reason").isNull()
+    rows = entries.select("message_pk", "period_key", F.col("excluded_reason").eqNullSafe(REVIEW).alias("review"), F.coalesce(shown, F.lit(False)).alias("shown"), title.alias("title"), category.alias("category")).where("review or shown")
+    same = duplicate_titles(rows.where("shown and title is not null"), ["period_key", "category", "title"]).where("duplicate").select("message_pk", F.lit("same title").alias("kind"), "title")
+    kinds = F.array(F.when(F.col("review"), REVIEW), F.when(F.col("shown") & F.col("title").isNull(), "no title"), F.when(F.col("shown") & (title_grade(F.col("title")) == "too long"), "long title"))
+    found = rows.select("message_pk", F.explode(F.array_compact(kinds)).alias("kind"), "title").union(same)
+    at = messages.select(F.col("id").alias("message_pk"), "chat_id", "message_id")
+    told = found.join(at, "message_pk").select("kind", "chat_id", F.col("message_id").alias("first_id"), F.col("message_id").alias("last_id"), "title")
+    return told.union(gaps(messages).select(F.lit("gap").alias("kind"), "chat_id", "first_missing", "last_missing", F.lit(None).cast("string").alias("title")))
+
+
 def unsent(parts: DataFrame, publications: DataFrame, destination: str) -> DataFrame:
     """Parts that have no message id at the destination yet."""
     sent = publications.where((F.col("destination") == destination) & F.col("telegram_message_id").isNotNull())

@@ -313,6 +313,55 @@ def live_states(spark, sf_dir):
     return live.states(first.union(second).union(first)).select("period_key", "chat_id", "message_id", "words", "deleted")
 
 
+@query("""
+SELECT o_orderkey AS message_id, epoch(o_orderdate)::BIGINT - 7200 AS sent, CASE WHEN o_orderkey % 17 <> 4 THEN o_orderpriority || ' +' || o_orderstatus END AS words, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS sender_name
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 11 <> 3 AND o_orderkey % 7 <> 1 AND o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01'""")
+def export_states(spark, sf_dir):
+    """A summer month of Madrid, two hours before that of UTC; messages without text are kept."""
+    from ..sources import export
+
+    found = export.told(_exported(spark, sf_dir), MONTH, "c1", "Europe/Madrid")
+    return found.select("message_id", F.unix_seconds("sent_at").alias("sent"), "words", "sender_name")
+
+
+@query(f"""WITH {CHATS}, e AS (SELECT *, CASE WHEN message_id % 9 = 2 THEN 'deleted' WHEN message_id % 11 = 5 THEN 'spam' END AS was FROM chats),
+ a AS (SELECT *, media_group_id IS NOT NULL AND was IS DISTINCT FROM 'deleted' AS alive FROM e),
+ g AS (SELECT chat_id, media_group_id, min(message_id) AS first_id, arg_min(words, message_id) FILTER (WHERE words IS NOT NULL) AS album_words FROM a WHERE alive GROUP BY chat_id, media_group_id)
+SELECT message_id, CASE WHEN alive AND was IS NULL THEN CASE WHEN message_id <> first_id THEN 'album' WHEN album_words IS NULL THEN 'needs_review' END ELSE was END AS excluded_reason,
+ CASE WHEN alive AND message_id = first_id THEN coalesce(album_words, words) ELSE words END AS words FROM a LEFT JOIN g USING (chat_id, media_group_id)""")
+def album_texts(spark, sf_dir):
+    """Which message stands for its album, and with what text, where some messages are deleted or excluded."""
+    key = F.col("message_id")
+    rows = _chats(spark, sf_dir).withColumn("id", key)
+    given = rows.select(key.alias("message_pk"), F.when(key % 9 == 2, E.DELETED).when(key % 11 == 5, "spam").alias("excluded_reason"))
+    shown = E.by_album(rows, given)
+    return E.spoken(rows, shown).join(shown, F.col("id") == F.col("message_pk")).select("message_id", "excluded_reason", F.nullif(E.prepared(F.col("source_text")), F.lit("")).alias("words"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS text_hash FROM documents")
+def composed_texts(spark, sf_dir):
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(E.normalised(apart), 256).alias("text_hash"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS k, o_custkey % 50 AS chat_id, strftime(o_orderdate, '%Y-%m') AS m, CASE WHEN o_orderkey % 17 = 6 THEN 'needs_review' WHEN o_orderkey % 11 = 5 THEN 'spam' END AS why,
+  CASE WHEN o_orderkey % 10 = 3 THEN 'by <hand>' WHEN o_orderkey % 19 = 7 THEN c_name || c_name || c_name WHEN o_orderkey % 23 <> 8 THEN c_name END AS title, CASE WHEN o_orderkey % 13 = 4 THEN 'Своё' ELSE o_orderpriority END AS category, o_orderstatus = 'F' AS ok
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+ s AS (SELECT *, count(*) OVER (PARTITION BY m, category, title) AS n FROM e WHERE ok AND why IS NULL),
+ g AS (SELECT chat_id, k, lag(k) OVER (PARTITION BY chat_id ORDER BY k) AS before FROM (SELECT o_custkey % 50 AS chat_id, o_orderkey AS k FROM orders))
+SELECT 'needs_review' AS kind, chat_id, k AS first_id, k AS last_id, title FROM e WHERE why = 'needs_review'
+UNION ALL SELECT 'no title', chat_id, k, k, title FROM s WHERE title IS NULL
+UNION ALL SELECT 'long title', chat_id, k, k, title FROM s WHERE length(title) > 42
+UNION ALL SELECT 'same title', chat_id, k, k, title FROM s WHERE title IS NOT NULL AND n > 1
+UNION ALL SELECT 'gap', chat_id, before + 1, k - 1, NULL FROM g WHERE k - before > 1""")
+def edition_warnings(spark, sf_dir):
+    """Entries of all months, some without a title, with a long one, or waiting for a review."""
+    key = F.col("message_pk")
+    rows = entries(spark, sf_dir).withColumns({"short_title": F.when(key % 19 == 7, F.repeat("short_title", F.lit(3))).when(key % 23 != 8, F.col("short_title")), "excluded_reason": F.when(key % 17 == 6, E.REVIEW).otherwise(F.col("excluded_reason"))})
+    chats = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("chat_id"), F.col("o_orderkey").alias("message_id"))
+    return E.warnings(rows, chats)
+
+
 @query(f"WITH {CHATS} SELECT chat_id, before + 1 AS first_missing, message_id - 1 AS last_missing FROM (SELECT chat_id, message_id, lag(message_id) OVER (PARTITION BY chat_id ORDER BY message_id) AS before FROM chats) WHERE message_id - before > 1")
 def missing_messages(spark, sf_dir):
     return E.gaps(_chats(spark, sf_dir), 1 << 10)

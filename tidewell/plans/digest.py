@@ -16,12 +16,14 @@ from ..functions.period import canonical
 from ..operators import classify as C
 from ..operators import render as R
 from ..operators import layout
+from ..operators import edition as E
 from ..operators.edition import by_rule, split_blocks, text_hash, unsent
 from ..operators.lineage import cut
 from ..operators.merging import merged
 from ..operators.moderation import FIELDS, acted
 from ..operators.store import Conflict, Store, absent, first_by, numbered
 from ..sources import export
+from ..streaming import live
 
 #: The keys of the reply are fixed values, as the reply's reader expects them.
 INSTRUCTIONS = """Ниже строки с объявлениями участников группы{place} за месяц; подготовь их для обзора.
@@ -53,6 +55,29 @@ def import_export(spark: SparkSession, store: Store, path: str, period: str, cha
     return n
 
 
+def import_by_rules(spark: SparkSession, store: Store, path: str, period: str, chat_id: str, username: str, zone: str = "Europe/Madrid") -> int:
+    """As :func:`import_export`, with the documents' rules; the number of the month's messages, known ones included. The month is
+    that of the zone. Messages without text wait for a review, an album has one entry, and texts are in Unicode's composed form.
+    A message that was edited since it was stored, or that the live stream has in another version, has its latest text; it is
+    then classified anew. Every call makes a version."""
+    period, key = canonical(period), ["chat_id", "message_id"]
+    rows = export.told(export.scan(spark, path), period, chat_id, zone).cache()
+    n = rows.select(*key).distinct().count()
+    if n and not username:
+        raise ValueError("a source username is needed for links")
+    if n:
+        facts = first_by(rows, key, "pos").select(*key, "sender_name", "media_type")
+        live.upsert(store, rows.drop("pos", "sender_name", "media_type"), username, facts=facts)
+    rows.unpersist()
+    return n
+
+
+def warnings(store: Store, period: str) -> DataFrame:
+    """What someone should look at before the period's edition goes out: kind, chat_id, first_id, last_id, title."""
+    period, base = canonical(period), store.version()
+    return E.warnings(standing(store, period, base), store.read("messages", period, base))
+
+
 def add(store: Store, period: str, rows: DataFrame, order: str) -> int:
     """Add messages that the store has not, with their entries, to a period; how many. Nothing to add makes no version."""
     base = store.version()
@@ -86,11 +111,12 @@ def classify(spark: SparkSession, store: Store, period: str, providers: dict[str
 def classify_by_rules(spark: SparkSession, store: Store, period: str, providers: dict[str, Callable[[str], str]], place: str = "") -> str:
     """As :func:`classify`, with the documents' rules: a text that the month has a result for, by its hash, is not asked for again; where
     no provider gives a valid reply, entries get titles by rule, which are not kept as results, and the rest goes on; small
-    categories are merged into the nearest. The provider's name, ``cache`` if nothing was asked, or ``rules``."""
+    categories are merged into the nearest. An album is asked for by its text, and excluded entries are not asked for. The provider's name, ``cache`` if nothing was asked, or ``rules``."""
     period, base = canonical(period), store.version()
-    messages, known, results = store.read("messages", period, base), store.read("entries", period, base), store.read("results", period, base)
+    known, results, stand = store.read("entries", period, base), store.read("results", period, base), standing(store, period, base)
+    messages = E.spoken(store.read("messages", period, base), stand)
     texts = messages.select("id", "source_text", text_hash(F.col("source_text")).alias("text_hash"))
-    asked = C.requests(messages, standing(store, period, base), period).join(texts.select("id", "text_hash"), "id").cache()
+    asked = C.requests(messages, stand.where("excluded_reason is null"), period).join(texts.select("id", "text_hash"), "id").cache()
     if asked.isEmpty():
         return "nothing to classify"
     fresh = asked.join(results.select("text_hash"), "text_hash", "left_anti").select("id", "text", "text_hash")

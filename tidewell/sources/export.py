@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.period import in_month
+from ..functions.period import in_month, in_month_of
+from ..operators.edition import normalised, prepared
 
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*([+-]\d{2}:?\d{2}|Z)$"
@@ -226,3 +227,27 @@ def qualifying(items: DataFrame, period: str, chat_id: str, username: str) -> Da
         "pos", F.lit(chat_id).alias("chat_id"), number.alias("message_id"), F.col("date").alias("published_at"), sender.alias("sender_name"), "source_text",
         T.source_url(username, number).alias("source_url"), get("media_type").alias("media_type"), get("media_group_id").alias("media_group_id"),
     )
+
+
+def told(items: DataFrame, period: str, chat_id: str, zone: str) -> DataFrame:
+    """What an export says of the month's messages, in the columns of the store's states, with pos, sender_name and media_type.
+
+    Messages without text are kept. The month is that of the zone: ``date_unixtime`` counts where there is one, else ``date`` is
+    a time of that zone. ``edited_unixtime`` or ``edited`` tell when the text was last changed, else it is as it was sent. An
+    id counts as in :func:`qualifying`; a message whose date is none is left out, and a date with an offset is an error.
+    """
+    get = lambda key, kind="string": F.try_variant_get("m", f"$.{key}", kind)
+
+    def instant(local: str, unix: str) -> Column:
+        date = F.when(get(local).rlike(OFFSET), _raise("a date carries an offset")).when(get(local).rlike(ISO), get(local))
+        return F.coalesce(F.timestamp_seconds(F.expr(f"try_cast(try_variant_get(m, '$.{unix}', 'string') as long)")), F.concat(date.try_cast("timestamp_ntz").cast("string"), F.lit(f" {zone}")).try_cast("timestamp"))
+
+    id_kind = F.schema_of_variant(F.variant_get("m", "$.id", "variant"))
+    rows = items.where((get("type") == "message") & id_kind.isin("BIGINT", "BOOLEAN")).withColumn("sent_at", instant("date", "date_unixtime")).where(in_month_of(F.col("sent_at"), period, zone))
+    number = F.when(id_kind == "BOOLEAN", get("id", "boolean").cast("long")).otherwise(get("id", "long"))
+    words = F.nullif(prepared(normalised(T.plain_text(F.variant_get("m", "$.text", "variant")))), F.lit(""))
+    sender = F.when(F.variant_get("m", "$.from", "variant").isNull(), F.lit("")).otherwise(get("from"))
+    return rows.select(
+        F.lit(period).alias("period_key"), F.lit(chat_id).alias("chat_id"), number.alias("message_id"), "sent_at", F.coalesce(instant("edited", "edited_unixtime"), "sent_at").alias("at"), F.col("pos").cast("long").alias("update_id"),
+        words.alias("words"), get("media_group_id").alias("media_group_id"), F.lit(False).alias("deleted"), "pos", sender.alias("sender_name"), get("media_type").alias("media_type"),
+    )

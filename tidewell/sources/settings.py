@@ -31,6 +31,7 @@ class Settings:
     brand: str
     place: str
     rules: bool
+    zone: str
     group_link: str
 
 
@@ -50,5 +51,6 @@ def settings(root: Path) -> Settings:
         brand=get("DIGEST_BRAND", "обЪявления"),
         place=get("DIGEST_PLACE"),
         rules=get("DIGEST_RULES") == "1",
+        zone=get("DIGEST_ZONE", "Europe/Madrid"),
         group_link=get("DIGEST_GROUP_LINK"),
     )

@@ -11,10 +11,11 @@ import subprocess
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, components, decontamination, hamming, idstore, kernels, labelled, packing, quality, secrets, similarity, toxicity, warc
+from tidewell.llm import chat, components, decontamination, hamming, idstore, kernels, labelled, packing, quality, secrets, similarity, tokens, toxicity, warc
 from tidewell.llm.shared import scratch
 from tidewell.llm.tokens import WordEncoder
 
@@ -41,6 +42,20 @@ def test_encoder():
         assert w.encode(text) == w._whole(text)
 
 
+def test_encoder_takes_texts_together(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 300)
+    monkeypatch.setattr(tokens, "PLACED", 7)
+    w, rng = WordEncoder(), np.random.default_rng(4)
+    latin = [chr(c) for c in range(32, 0x250)] + [" "] * 150 + ["'ll", "'.", "...", "a-.", "don't"]
+    letters = latin + list("\x1c\x85́K 　Σ中’") + [" <|endoftext|> "]
+    texts = [None, "", "  a b. ", "x. " * 500, *("".join(rng.choice(letters if k % 2 else latin, rng.integers(0, 30))) for k in range(3000))]
+    texts += [f"x{chr(c)}y {chr(c)}. " for c in range(0x250)]
+    assert list(w.encode_all(pa.array(texts, pa.string()))) == [w._whole(t or "") for t in texts]
+    assert list(w.encode_all(pa.array([], pa.string()))) == []
+    w = WordEncoder()
+    assert next(w.encode_all(pa.array(["The the. THE, the"]))) == w._whole("The the. THE, the") and set(w.known) == {"the", ".", ","}
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     w = WordEncoder()

@@ -106,11 +106,11 @@ def _staged(docs: DataFrame, end_id: int, width: int, vocabulary: str | None, id
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for batch in batches:
             rows = []
-            for text in batch.column(2).to_pylist():
-                ids = np.frombuffer(encode(text) + last, "<u4")
+            for found in encode_all(batch.column(2)):
+                ids = np.frombuffer(found + last, "<u4")
                 if width < 4 and int(ids.max()) >> (8 * width):
                     raise ValueError(f"an id does not fit {width} bytes")
                 data = ids.astype(f"<u{width}").tobytes()

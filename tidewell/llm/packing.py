@@ -38,11 +38,11 @@ def pieces(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str
     step = 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + last
+            for key, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+                ids = found + last
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + ((part,) if with_ids else ()))

@@ -5,6 +5,10 @@ words in turn. A corpus repeats its words, so a worker keeps the ids of the word
 unsigned 32-bit integers, and joins them. Words of Latin letters go straight to the library's BPE model after the
 tokenizer's own lower-casing and splitting; every other word, and every text that holds a special token or a control
 character which Python counts as white space, goes through the whole tokenizer.
+
+Texts of Latin letters alone are taken together: Arrow lower-cases and splits them and finds their distinct words, of which
+each is looked up once, and numpy puts the ids in the words' places. Marks behind a word are looked up apart, so a worker
+keeps one entry for a word however it is written.
 """
 
 from __future__ import annotations
@@ -12,9 +16,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Bytes, as estimated from lengths, of each of the two generations of words and pieces that a worker keeps; when the
@@ -24,6 +31,12 @@ CACHE_BYTES, LONGEST = 96 << 20, 64
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that often end a word: a run of them behind letters is one piece.
 MARKS = ".,;:!?)]}\"'"
+#: Bytes of text that are taken together, and words whose ids are placed at once.
+TOGETHER, PLACED = 4 << 20, 1 << 20
+#: What no text that is taken with others holds: controls, the no-break space, the soft hyphen, the dotted capital I, and all
+#: from U+0250 (as RE2). So white space is ASCII there, and Arrow's ASCII functions do: its utf8_split_whitespace leaves
+#: white space at the end of an array's last text, behind utf8_lower.
+APART = r"[\x00-\x08\x0E-\x1F\x7F-\xA0\xAD\x{130}]|[^\x00-\x{24F}]"
 #: Control characters that str.split() takes for white space and the tokenizer may not.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 
@@ -52,6 +65,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = "|".join([APART, *map(re.escape, self.special)])
         self.letters = _byte_letters()
         self.split = regex.compile(PIECES).findall
         self.known = _Known(self._word)
@@ -83,6 +97,40 @@ class WordEncoder:
             return self._whole(text)
         return b"".join(map(self.known.__getitem__, text.split()))
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """As ``encode`` gives them, in order."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a, base = 0, 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, base + TOGETHER, side="right")))
+            some = texts.slice(a, b - a)
+            apart = pc.match_substring_regex(some, self.apart)
+            alike = self._together(some.filter(pc.invert(apart)))
+            for k, odd in enumerate(apart.to_pylist()):
+                yield self.encode(some[k].as_py()) if odd else next(alike)
+            a, base = b, int(ends[b - 1])
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts that hold nothing of ``apart``."""
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        cores = pc.ascii_rtrim(words.dictionary, characters=MARKS).to_numpy(zero_copy_only=False)
+        get = self.known.__getitem__
+        found = [get(w) if len(w) == len(c) or not c.isalpha() else get(c) + get(w[len(c) :]) for w, c in zip(words.dictionary.to_numpy(zero_copy_only=False), cores, strict=True)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, places = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        out = []
+        for a in range(0, len(places), PLACED):
+            at = places[a : a + PLACED]
+            n = sizes[at]
+            out.append(ids[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        whole = np.concatenate([ids[:0], *out])
+        ends = np.concatenate([[0], np.cumsum(sizes[places])])[lists.offsets.to_numpy()]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield whole[a:b].tobytes()
+
 
 class _Known(dict):
     """Word to ids, filled as words are met; a word of the older generation moves to the younger when met again."""

@@ -210,3 +210,23 @@ def test_classification_by_rules(spark, tmp_path):
     assert titles()[6] == "bed" and titles()[7] == "lamp"
     parts = digest.render(store, "2026-09", "b", "https://t.me/u")
     assert len(parts) == 1 and parts[0].startswith("📚 <b>b</b>\nГлавное за сентябрь 2026 · Часть 1 из 1\n\n") and parts[0].endswith('<a href="https://t.me/u">b</a></b>')
+
+
+def test_pages_of_a_large_month_in_one_pass(spark):
+    rng = random.Random(8)
+    lines = ["", "", *("x" * rng.choice([0, 1, 9, 40, 90]) for _ in range(12000))]
+    rows = spark.createDataFrame([("2024-03", "*", "c", i, x) for i, x in enumerate(lines)], "period_key string, emoji string, category string, rank int, line string")
+    blocks = E.split_blocks(rows, 80)
+    bodies, room = [], 80 - len(f"* <b>c{E.MORE}</b>\n")
+    for x in lines:
+        if bodies and (not bodies[-1] or len(bodies[-1]) + 1 + len(x) <= room):
+            bodies[-1] += "\n" * bool(bodies[-1]) + x
+        else:
+            bodies.append(x)
+    want = [f"* <b>c{E.MORE if k else ''}</b>\n{b}" for k, b in enumerate(bodies)]
+    got = [r["block"] for r in blocks.orderBy("ord", "piece").collect()]
+    assert got == want and len(want) > 3000
+    parts = layout.paged(blocks.select("period_key", F.struct("ord", "piece").alias("ord"), "block"), 190, "b", "u")
+    assert [r["html"] for r in parts.orderBy("part_no").collect()] == _paged(want, 190, "март 2024")
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # a fold copies what it has found at every step

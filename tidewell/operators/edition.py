@@ -7,6 +7,7 @@ null title or category equals another null when duplicates are looked for.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -161,8 +162,24 @@ def unsent(parts: DataFrame, publications: DataFrame, destination: str) -> DataF
 def split_blocks(rows: DataFrame, limit: int = T.LIMIT) -> DataFrame:
     """Blocks as in rendering, but one over the limit goes on in further blocks whose headers say so. A line is never cut:
     one that is over the limit by itself has a block of its own."""
-    grouped = rows.groupBy("period_key", "emoji", "category").agg(F.min("rank").alias("ord"), F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("x"))
+    key = ["period_key", "emoji", "category"]
     head = lambda more: F.concat(F.col("emoji"), F.lit(" <b>"), T.escape(F.col("category")), F.lit(f"{more}</b>\n"))
-    room = F.lit(limit) - F.length(head(MORE))
-    each = grouped.select("period_key", "ord", head("").alias("first"), head(MORE).alias("later"), F.posexplode(T.packed(F.transform("x", lambda x: x["line"]), room, "\n")).alias("piece", "body"))
-    return each.select("period_key", "ord", "piece", F.concat(F.when(F.col("piece") == 0, F.col("first")).otherwise(F.col("later")), F.col("body")).alias("block"))
+    given = [*key, "rank", "line"]
+
+    def pieces(group: pa.Table) -> pa.Table:  # one pass over lengths; a fold in Spark copies its array at every line
+        group = group.sort_by([("rank", "ascending"), ("line", "ascending")])
+        room, used, found, joins = group.column("room")[0].as_py(), 0, [], []
+        for size in group.column("size").to_pylist():
+            fits = bool(found) and (used == 0 or used + size + 1 <= room)
+            joins.append(fits and used > 0)
+            found.append(found[-1] + (not fits) if found else 0)
+            used = used + joins[-1] + size if fits else size
+        ord_ = pa.array([group.column("rank")[0].as_py()] * len(found), group.schema.field("rank").type)
+        return group.select(given).append_column("ord", ord_).append_column("piece", pa.array(found, pa.int32())).append_column("joins", pa.array(joins))
+
+    sized = rows.select(*given, F.length("line").alias("size"), (F.lit(limit) - F.length(head(MORE))).alias("room"))
+    rank = rows.schema["rank"].dataType.simpleString()
+    kinds = f"period_key string, emoji string, category string, rank {rank}, line string, ord {rank}, piece int, joins boolean"
+    each = sized.groupBy(*key).applyInArrow(pieces, kinds).groupBy(*key, "ord", "piece").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "joins"))).alias("x"))
+    body = F.array_join(F.transform("x", lambda x: F.concat(F.when(x["joins"], "\n").otherwise(""), x["line"])), "")
+    return each.select("period_key", "ord", "piece", F.concat(F.when(F.col("piece") == 0, head("")).otherwise(head(MORE)), body).alias("block"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,29 +37,34 @@ def paged(rows: DataFrame, limit: int = T.LIMIT, brand: str = "обЪявлен
 
     A header names the number of parts, and the longer that number the fewer blocks fit, so it is sought as a fixpoint. The
     number of parts does not fall as its digits grow, so the least number of digits that the parts found with it do not exceed
-    is the least fixpoint. All candidates, 1 up to the digits of the number of blocks, are tried for all months at once.
-    Candidates fold the blocks' lengths alone, one array of numbers a month; texts meet them a part at a time.
+    is the least fixpoint. Candidates, 1 up to the digits of the number of blocks, are tried in turn, each in one pass over a
+    month's lengths of blocks; texts meet the parts' first blocks afterwards.
     """
     foot = footer(brand, link)
     order = Window.partitionBy("period_key").orderBy("ord")
     placed = rows.withColumns({"n": F.row_number().over(order), "last": F.lead("ord").over(order).isNull()})
     size = F.length("block") + F.when(F.col("last"), len(foot)).otherwise(0)
-    listed = placed.groupBy("period_key").agg(F.sort_array(F.collect_list(F.struct("n", size.alias("size")))).alias("x"))
-    tried = listed.select("period_key", "x", F.explode(F.sequence(F.lit(1), F.length(F.size("x").cast("string")))).alias("digits"))
     # a header's length, but for the digits of both numbers
     bare = lambda part: F.length(head(F.col("period_key"), F.lit(part), F.lit(""), brand)) - 1
-    tried = tried.withColumns({"first_room": limit - bare(1) - F.col("digits"), "room": limit - bare(2) - F.col("digits")})
-    state = lambda part, used, starts: F.struct(part.cast("int").alias("part"), used.cast("int").alias("used"), starts.alias("starts"))
+    sized = placed.select("period_key", "n", size.alias("size"), (limit - bare(1)).alias("first_room"), (limit - bare(2)).alias("room"))
 
-    def add(acc: Column, x: Column) -> Column:
-        room = F.when(acc["part"] == 1, F.col("first_room")).otherwise(F.col("room")) - F.length(acc["part"].cast("string"))
-        used = acc["used"] + len(GAP) + x["size"]
-        return F.when((acc["part"] > 0) & (used <= room), state(acc["part"], used, acc["starts"])).otherwise(state(acc["part"] + 1, x["size"], F.concat(acc["starts"], F.array(x["n"]))))
+    def begun(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        sizes, rooms = group.column("size").to_pylist(), [group.column(c)[0].as_py() for c in ("first_room", "room")]
+        for digits in range(1, len(str(len(sizes))) + 1):
+            starts, left = [], -1
+            for n, x in enumerate(sizes):
+                left -= len(GAP) + x
+                if left < 0:
+                    starts.append(n)
+                    left = rooms[len(starts) > 1] - digits - len(str(len(starts))) - x
+            if len(str(len(starts))) <= digits:
+                break
+        rows = group.take(starts).select(["period_key", "n"])
+        parts = pa.array(range(1, len(starts) + 1), pa.int32())
+        return rows.append_column("begun", parts).append_column("total", pa.array([len(starts)] * len(starts), pa.int32()))
 
-    folded = tried.select("period_key", "digits", F.aggregate("x", state(F.lit(0), F.lit(0), F.array().cast("array<int>")), add).alias("end"))
-    fits = folded.where(F.length(F.col("end.part").cast("string")) <= F.col("digits"))
-    chosen = fits.groupBy("period_key").agg(F.min_by("end", "digits").alias("end"))
-    starts = chosen.select("period_key", F.col("end.part").alias("total"), F.posexplode("end.starts").alias("pos", "n")).select("period_key", "n", (F.col("pos") + 1).alias("begun"), "total")
+    starts = sized.groupBy("period_key").applyInArrow(begun, "period_key string, n int, begun int, total int")
     met = placed.select("period_key", "ord", "n", "block").join(starts, ["period_key", "n"], "left")
     so_far = Window.partitionBy("period_key").orderBy("n")
     met = met.withColumns({"part_no": F.max("begun").over(so_far), "total": F.max("total").over(so_far)})

@@ -1,6 +1,7 @@
 """The documents' rules in the commands: import with albums, edits and a zone, classification by album, warnings."""
 
 import json
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -152,6 +153,13 @@ def test_composed_form(spark):
     assert [r[0] for r in rows.where("t is null").select(E.normalised("t")).collect()] == [None]
 
 
+def test_composed_form_needs_no_python(spark):
+    texts = ["e\u0301", "\u1100\u1161\u11a8", "q\u0323\u0307", "q\u0307\u0323", "\u212b", "\u0958", "\U0001d15e", "\ufb01", "a" * 100_000 + "u\u0308"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(E.normalised(F.col("t")).alias("t"))
+    assert [r[0] for r in rows.collect()] == [unicodedata.normalize("NFC", t) for t in texts]
+    assert "EvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_told_keeps_messages_without_text(spark):
     rows = spark.createDataFrame([(0, json.dumps(item(1, text=None))), (1, json.dumps(item(True, text=["a", {"text": " b"}])))], "pos int, j string").select("pos", F.parse_json("j").alias("m"))
     assert [(r["message_id"], r["words"]) for r in export.told(rows, MONTH, "1", "UTC").orderBy("pos").collect()] == [(1, None), (1, "a b")]

@@ -6,11 +6,9 @@ null title or category equals another null when duplicates are looked for.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -26,10 +24,11 @@ def prepared(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{T.SPACE}]+", " "))
 
 
-@F.pandas_udf(StringType())
-def normalised(text: pd.Series) -> pd.Series:
-    """In Unicode's composed form (NFC), for which Spark has no function."""
-    return text.str.normalize("NFC")
+def normalised(text: Column | str) -> Column:
+    """In Unicode's composed form (NFC). Spark has no function for it, but brings ICU, whose static method is called for one
+    row after another; no batch of texts goes to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)))
 
 
 def text_hash(text: Column) -> Column:

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import chat, components, decontamination, hamming, idstore, kernels, labelled, packing, quality, secrets, similarity, tokens, toxicity, warc
-from tidewell.llm.shared import scratch
+from tidewell.llm.shared import gathered, scratch
 from tidewell.llm.tokens import WordEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,30 @@ def test_encoder_takes_texts_together(monkeypatch):
     assert next(w.encode_all(pa.array(["The the. THE, the"]))) == w._whole("The the. THE, the") and set(w.known) == {"the", ".", ","}
 
 
+def test_encoder_keeps_a_word_once_whatever_marks_follow():
+    w, text = WordEncoder(), "Word### word&&& word word.*** w-w word_ 555-01"
+    assert list(w.encode_all(pa.array([text]))) == [w._whole(text)]
+    assert {"word", "###", "&&&", ".***", "_"} <= set(w.known) and not {"word###", "word&&&", "word.***", "word_"} & set(w.known)
+
+
+def test_small_batches_are_encoded_together():
+    rows = [pa.RecordBatch.from_pydict({"text": pa.array(["word " * n], pa.string())}) for n in (1, 2, 3, 400, 1, 1)]
+    assert [b.column(0).to_pylist() for b in gathered(iter(rows), 1000)] == [["word ", "word " * 2, "word " * 3], ["word " * 400], ["word ", "word "]]
+    assert list(gathered(iter([]), 1000)) == []
+
+
+def test_chunks_of_streams_taken_together():
+    rng = np.random.default_rng(11)
+    streams = [rng.integers(0, 49000, n).astype("<u4") for n in (1, 5000, 63, 64, 65, 3000, 2)] + [np.full(5000, 7, "<u4")]
+    at = idstore.marks(np.concatenate(streams))
+    a = 0
+    for ids in streams:
+        b = a + len(ids)
+        ends = idstore.between(at[(at > a) & (at <= b)].tolist(), a, b)
+        assert [e - a for e in ends] == idstore.cuts(ids)
+        a = b
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     w = WordEncoder()

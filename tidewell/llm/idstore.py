@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, ready, remove, scratch, spent, tidy
-from .tokens import encoder
+from .shared import cut, gathered, ready, remove, scratch, spent, tidy
+from .tokens import TOGETHER, encoder
 
 #: Chunk lengths in ids: fewest, expected beyond the fewest, most.
 LEAST, USUAL, MOST = 64, 256, 2048
@@ -48,14 +49,18 @@ MAX_SENT = 1_000_000
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last 16 ids is below the mark; other streams before them do not matter."""
     h = _GEAR[ids & 0xFFFF]
     for k in (1, 2, 4, 8):  # the hash of the last 16 ids, doubled from that of 8, 4, ...
         h[k:] += h[:-k] << np.uint32(k)
-    marks = np.flatnonzero(h < np.uint32((1 << 32) // USUAL)) + 1
-    out, last, n = [], 0, len(ids)
-    for end in [*marks.tolist(), n]:
+    return np.flatnonzero(h < np.uint32((1 << 32) // USUAL)) + 1
+
+
+def between(places: list[int], last: int, n: int) -> list[int]:
+    """Ends of the chunks of the stream from ``last`` to ``n``; the first mark that counts has more than 16 of its ids before it."""
+    out = []
+    for end in [*places, n]:
         while end - last > MOST:
             last += MOST
             out.append(last)
@@ -67,6 +72,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream."""
+    return between(marks(ids).tolist(), 0, len(ids))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -107,24 +117,30 @@ def _staged(docs: DataFrame, end_id: int, width: int, vocabulary: str | None, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(vocabulary).encode_all
-        for batch in batches:
-            rows = []
-            for found in encode_all(batch.column(2)):
-                ids = np.frombuffer(found + last, "<u4")
-                if width < 4 and int(ids.max()) >> (8 * width):
-                    raise ValueError(f"an id does not fit {width} bytes")
-                data = ids.astype(f"<u{width}").tobytes()
-                ends = cuts(ids)
-                starts = [0, *ends[:-1]]
-                digests = [digest(data[a * width : b * width]) for a, b in zip(starts, ends, strict=True)]
-                sizes = [b - a for a, b in zip(starts, ends, strict=True)]
-                rows.append((len(ids), digests, sizes, recipe_root(digests, sizes), data))
-            if rows:
-                n, d, s, r, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(s, pa.list_(pa.int32())), pa.array(r, pa.binary()), pa.array(data, pa.binary())],
-                    names=["row", "doc_id", "n_tokens", "digests", "sizes", "root", "data"],
-                )
+        for batch in gathered(batches, TOGETHER):
+            found = [x + last for x in encode_all(batch.column(2))]
+            ids = np.frombuffer(b"".join(found), "<u4")
+            if width < 4 and len(ids) and int(ids.max()) >> (8 * width):
+                raise ValueError(f"an id does not fit {width} bytes")
+            data = ids.astype(f"<u{width}").tobytes()
+            bounds = np.cumsum([0, *map(len, found)]) // 4
+            at = marks(ids)
+            first = np.searchsorted(at, bounds, side="right").tolist()
+            at, ends, digests, sizes, roots, held = at.tolist(), bounds.tolist(), [], [], [], [0]
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                own, own_sizes = [], []
+                for end in between(at[first[k] : first[k + 1]], a, b):
+                    own.append(digest(data[a * width : end * width]))
+                    own_sizes.append(end - a)
+                    a = end
+                roots.append(recipe_root(own, own_sizes))
+                digests += own
+                sizes += own_sizes
+                held.append(len(sizes))
+            offsets = pa.array(held, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((digests, pa.binary()), (sizes, pa.int32()))]
+            texts = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.array(bounds * width, pa.int32()).buffers()[1], pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *lists, pa.array(roots, pa.binary()), texts], names=["row", "doc_id", "n_tokens", "digests", "sizes", "root", "data"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column), F.col(text_column).cast("string"))
@@ -158,19 +174,20 @@ def write(docs: DataFrame, path: str, end_id: int = 2, width: int = 2, vocabular
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[bytes, int, bytes]] = []
-            for row, digests, sizes, data, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sent:
-                    rows, places = sent.value
-                    skip = places[np.searchsorted(rows, row) : np.searchsorted(rows, row, side="right")].tolist()
-                skip, at = set(skip or ()), 0
-                for k, (d, n) in enumerate(zip(digests, sizes, strict=True)):
-                    if k not in skip:
-                        found.append((d, n, data[at : at + n * width]))
-                    at += n * width
-            if found:
-                d, n, data = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["digest", "n", "ids"])
+            row, digests, sizes, data, skip = batch.columns
+            first, n, whole = digests.offsets.to_numpy() - digests.offsets[0].as_py(), sizes.flatten().to_numpy(), _buffer(data)
+            if sent:
+                rows, places = sent.value
+                begin, end = (np.searchsorted(rows, row.to_numpy(), side=x) for x in ("left", "right"))
+                many = end - begin
+                at = places[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            else:
+                many, at = pc.fill_null(pc.list_value_length(skip), 0).to_numpy(), skip.flatten().to_numpy()
+            keep = np.ones(len(n), bool)
+            keep[np.repeat(first[:-1], many) + at] = False
+            ends = np.cumsum(np.concatenate([[0], n * width], dtype=np.int64))  # a batch's chunks stand one behind another
+            parts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.array(ends, pa.int32()).buffers()[1], whole])
+            yield pa.RecordBatch.from_arrays([digests.flatten(), pa.array(n, pa.int64()), parts], names=["digest", "n", "ids"]).filter(pa.array(keep))
 
     source.mapInArrow(tidy(chunks), "digest binary, n long, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
@@ -197,6 +214,17 @@ def write(docs: DataFrame, path: str, end_id: int = 2, width: int = 2, vocabular
     spark.createDataFrame([(*t, width, whole) for t in tops], "part int, start long, blocks long, root binary, width int, store binary").coalesce(1).write.parquet(f"{path}/top")
 
 
+def _bounds(values: pa.Array) -> np.ndarray:
+    """Where each binary value begins in their buffer, and where the last one ends."""
+    return np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+
+
+def _buffer(values: pa.Array) -> pa.Buffer:
+    """All bytes of binary values, one value behind another."""
+    bounds = _bounds(values) if len(values) else [0, 0]
+    return (values.buffers()[2] or pa.py_buffer(b"")).slice(bounds[0], bounds[-1] - bounds[0])
+
+
 def _leaf(*values) -> bytes:
     return repr(tuple(bytes(v) if isinstance(v, bytes | bytearray) else v for v in values)).encode()
 
@@ -242,20 +270,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stated, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if any(digest(x) != d for d, x in zip(stated, data, strict=True)):
+            if not batch.num_rows:
+                continue
+            stated, data = batch.column(0).to_numpy(zero_copy_only=False), memoryview(_buffer(batch.column(1)))
+            bounds = _bounds(batch.column(1)) - _bounds(batch.column(1))[0]
+            ends = bounds.tolist()
+            if any(digest(data[a:b]) != d for d, a, b in zip(stated, ends[:-1], ends[1:], strict=True)) or (bounds % width).any():
                 raise ValueError("a chunk does not match its digest")
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array([len(x) // width for x in data], pa.int64())], names=["digest", "crc", "own"])
+            own = np.diff(bounds).astype(np.int64) // width
+            wide = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
+            ends = (bounds.astype(np.int64) // width * 4).tolist()
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(own)], names=["digest", "crc", "own"])
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("sizes").to_pylist()
-            for r, d, s in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), sizes, strict=True):
-                if recipe_root(d, s) != r:
+            lists, sizes = batch.column("digests"), batch.column("sizes")
+            first, ends = (x.offsets.to_numpy() - x.offsets[0].as_py() for x in (lists, sizes))
+            if not np.array_equal(first, ends):
+                raise ValueError("a recipe does not match its root")
+            digests, n, bounds = lists.flatten().to_numpy(zero_copy_only=False).tolist(), sizes.flatten().to_numpy(), first.tolist()
+            whole = n.tolist()
+            for r, a, b in zip(batch.column("root").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                if recipe_root(digests[a:b], whole[a:b]) != r:
                     raise ValueError("a recipe does not match its root")
-            after = [(sum(s) - np.cumsum(s)).tolist() for s in sizes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("digests"), pa.array(sizes, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int64()))], names=["doc_id", "start", "digests", "sizes", "after"])
+            sums = np.cumsum(np.concatenate([[0], n], dtype=np.int64))
+            after = np.repeat(sums[first[1:]], np.diff(first)) - sums[1:]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "start", "digests", "sizes")), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(after))], names=["doc_id", "start", "digests", "sizes", "after"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
